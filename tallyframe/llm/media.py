@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import map_arrow, text_chunks
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -325,7 +325,7 @@ def text_to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for doc, text in _each_text(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([write_avi(payload_of(text))], pa.binary())], names=["doc_id", "n_bytes", "avi"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, MEDIA)
+    return map_arrow(_texts(docs, id_col, text_col), run, MEDIA)
 
 
 def avi_clips(media: DataFrame, id_col: str = "doc_id", avi_col: str = "avi") -> DataFrame:
@@ -347,7 +347,7 @@ def avi_clips(media: DataFrame, id_col: str = "doc_id", avi_col: str = "avi") ->
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "clip", "first_frame", "frames", "start_s", "end_s", "peak"])
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(avi_col).alias("avi")).mapInArrow(run, CLIPS)
+    return map_arrow(media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(avi_col).alias("avi")), run, CLIPS)
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,4 +372,4 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, DIGEST)
+    return map_arrow(_texts(docs, id_col, text_col), run, DIGEST)

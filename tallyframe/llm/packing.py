@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_arrow, stored
 
 #: Fixed value: the published pre-token pattern of byte-level BPE with this vocabulary layout.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -220,7 +220,7 @@ def pack_documents(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stored(rows.mapInArrow(_cut(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    pieces = stored(map_arrow(rows, _cut(tokenizer_path, capacity, end_id), PIECES), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
@@ -239,4 +239,4 @@ def pack_documents(
         .join(before, ["length", "bucket"])
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("within") + F.col("before")).cast("long").alias("rank"))
     )
-    return ranked.mapInArrow(_place(shared), PIECES + ", sequence_id long, offset long")
+    return map_arrow(ranked, _place(shared), PIECES + ", sequence_id long, offset long")
