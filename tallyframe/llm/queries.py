@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, quality, toxicity
+from . import exact_dedup, media, mixing, packing, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "position", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secrets": op3_secrets,
     "op4_media": op4_media,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
