@@ -154,10 +154,9 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         if b - a >= k:
             own = np.unique(full[a : b - k + 1])
         elif b > a:
-            h = seed + np.uint64(b - a)
+            own = np.array([seed]) + np.uint64(b - a)
             for w in hashes[a:b]:
-                h = mix64(np.array([h * np.uint64(3) + w]))[0]
-            own = np.array([h], np.uint64)
+                own = mix64(own * np.uint64(3) + w)
         else:
             continue
         sizes[i + 1] = len(own)

@@ -45,42 +45,45 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2, seed: int = 5, residual: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """node, component over all links among nodes that share a group; a node without links is absent.
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, more_than: int = 1, seed: int = 5) -> tuple[DataFrame | None, DataFrame]:
+    """(links found, labels g, node, c): in groups of more than ``more_than`` nodes each round holds every node against one leader.
 
-    ``members`` is a stored table of (g, node); ``verify`` takes pairs (a, b), a < b,
-    and returns those that link. Within a group every node is first held against one
-    leader, another one each round. Then only pairs of nodes that are still in
-    different components are left, and all of those are held against each other, so
-    no link is lost, while a large group of copies costs one pair a member and round.
-    ``residual`` may replace the making of those last pairs from labelled members.
+    Nodes that already are in the leader's component are not held against it again.
     """
     links = None
-    labelled = members.withColumn("c", F.col("node"))
-    component = None
-    for r in range(star_rounds):
+    labelled = members.select("g", "node", F.col("node").alias("c"))
+    for r in range(rounds):
         order = F.xxhash64(F.lit(seed + r), "g", "node")
-        leaders = labelled.groupBy("g").agg(F.min_by(F.struct("node", "c"), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g", "lead.*")
-        leaders = leaders.select("g", F.col("node").alias("leader"), F.col("c").alias("leader_c"))
+        leaders = labelled.groupBy("g").agg(F.min_by(F.struct("node", "c"), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
+        leaders = leaders.filter(f"c0 <> c1 and m > {more_than}").select("g", F.col("lead.node").alias("leader"), F.col("lead.c").alias("leader_c"))
         pairs = labelled.join(leaders, "g").filter("c <> leader_c").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         found = stored(verify(pairs), "links")
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        component = stored(components(links), "components")
+        component = components(links)
         labelled = stored(members.join(component, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c")), "labelled")
+    return links, labelled
+
+
+def spread_pairs(labelled: DataFrame) -> DataFrame:
+    """(a, b), a < b, once for each group both are in, of nodes in different components."""
     spread = labelled.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g")
-    rest = stored(labelled.join(spread, "g", "left_semi"), "rest")
-    if not rest.isEmpty():
-        if residual is None:
-            other = rest.select("g", F.col("node").alias("b"), F.col("c").alias("cb"))
-            pairs = rest.join(other, "g").filter("node < b and c <> cb").select(F.col("node").alias("a"), "b").distinct()
-        else:
-            pairs = residual(rest, members)
-        found = stored(verify(pairs), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            component = stored(components(links), "components")
-    if component is None:
-        return members.select("node", F.col("node").alias("component")).limit(0)
-    return component
+    rest = labelled.join(spread, "g", "left_semi")
+    other = rest.select("g", F.col("node").alias("b"), F.col("c").alias("cb"))
+    return rest.join(other, "g").filter("node < b and c <> cb").select(F.col("node").alias("a"), "b")
+
+
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> DataFrame:
+    """node, component over all links among nodes that share a group; a node without links may be absent.
+
+    ``members`` is a stored table of (g, node); ``verify`` takes pairs (a, b), a < b,
+    and returns those that link. After the star rounds only pairs of nodes that are
+    still in different components are left, and all of those are held against each
+    other, so no link is lost, while a large group of copies costs one pair a member
+    and round.
+    """
+    links, labelled = star_links(members, verify, star_rounds)
+    found = stored(verify(spread_pairs(labelled).distinct()), "links")
+    links = found if links is None else links.unionByName(found)
+    return components(links)
