@@ -49,11 +49,14 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
     """(links found, labels g, node, c): in groups of more than ``more_than`` nodes each round holds every node against one leader.
 
     Nodes that already are in the leader's component are not held against it again.
+    The leader is the node of the lowest ``rank``, if ``members`` has that column,
+    at first of all and then of those without a link.
     """
     links = None
-    labelled = members.select("g", "node", F.col("node").alias("c"))
+    members = members if "rank" in members.columns else members.withColumn("rank", F.lit(0).cast("long"))
+    labelled = members.withColumn("c", F.col("node"))
     for r in range(rounds):
-        order = F.xxhash64(F.lit(seed + r), "g", "node")
+        order = F.struct((F.col("c") != F.col("node")).alias("linked") if r else F.lit(False).alias("linked"), "rank", F.xxhash64(F.lit(seed + r), "g", "node").alias("h"))
         leaders = labelled.groupBy("g").agg(F.min_by(F.struct("node", "c"), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
         leaders = leaders.filter(f"c0 <> c1 and m > {more_than}").select("g", F.col("lead.node").alias("leader"), F.col("lead.c").alias("leader_c"))
         pairs = labelled.join(leaders, "g").filter("c <> leader_c").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -62,19 +65,22 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
             break
         links = found if links is None else links.unionByName(found)
         component = components(links)
-        labelled = stored(members.join(component, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c")), "labelled")
+        labelled = stored(members.join(component, "node", "left").select("g", "node", "rank", F.coalesce("component", "node").alias("c")), "labelled")
     return links, labelled
 
 
-def spread_pairs(labelled: DataFrame) -> DataFrame:
-    """(a, b), a < b, once for each group both are in, of nodes in different components."""
+def spread_pairs(labelled: DataFrame, alike: str = "true") -> DataFrame:
+    """(a, b), a < b, once for each group both are in, of nodes in different components.
+
+    ``alike`` is a condition on further columns x of ``labelled`` and on other_x.
+    """
     spread = labelled.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g")
     rest = labelled.join(spread, "g", "left_semi")
-    other = rest.select("g", F.col("node").alias("b"), F.col("c").alias("cb"))
-    return rest.join(other, "g").filter("node < b and c <> cb").select(F.col("node").alias("a"), "b")
+    other = rest.withColumnsRenamed({"node": "b", "c": "cb"} | {x: f"other_{x}" for x in rest.columns if x not in ("g", "node", "c")})
+    return rest.join(other, "g").filter(f"node < b and c <> cb and {alike}").select(F.col("node").alias("a"), "b")
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> DataFrame:
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2, more_than: int = 1) -> DataFrame:
     """node, component over all links among nodes that share a group; a node without links may be absent.
 
     ``members`` is a stored table of (g, node); ``verify`` takes pairs (a, b), a < b,
@@ -83,7 +89,7 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], st
     other, so no link is lost, while a large group of copies costs one pair a member
     and round.
     """
-    links, labelled = star_links(members, verify, star_rounds)
+    links, labelled = star_links(members, verify, star_rounds, more_than)
     found = stored(verify(spread_pairs(labelled).distinct()), "links")
     links = found if links is None else links.unionByName(found)
     return components(links)

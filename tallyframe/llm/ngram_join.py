@@ -6,7 +6,7 @@ have Jaccard similarity t or more, each shares at least ceil(t n) of its n shing
 with the other, so that their prefixes of n - ceil(t n) + l shingles share at least
 l. Each document chooses its own l, by the postings and verifications it is
 estimated to cost; a pair is verified only if it shares as many prefix shingles as
-the smaller of its two l. Equal sets are one node throughout, and large groups are
+its two sizes and l ask for. Equal sets are one node throughout, and large groups are
 first brought into components by leaders, so that copies don't meet pair by pair.
 """
 
@@ -33,26 +33,38 @@ def _sets(column: pa.Array, k: int):
         yield a, names, bounds
 
 
+def _sketches(names: np.ndarray, bounds: np.ndarray, size: int = 16) -> list[bytes]:
+    """One byte of each of 16 minima: a cheap guess at similarity, for choosing pairs that are worth a look first."""
+    filled = np.flatnonzero(np.diff(bounds))
+    out = np.zeros((len(bounds) - 1, size), np.uint8)
+    for j in range(size):
+        if len(filled):
+            mixed = names * np.uint64(2 * (j * 0x9E3779B97F4A7C15 % (1 << 62)) + 1)
+            out[filled, j] = (mix64(np.minimum.reduceat(mixed, bounds[filled])) & np.uint64(255)).astype(np.uint8)
+    return [x.tobytes() for x in out]
+
+
 def _describe(k: int, bits: int):
     """Rows of a document's set (part null) and, at the end, of this task's bucket counts (part not null)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            n, s1, s2 = [], [], []
+            n, s1, s2, sketch = [], [], [], []
             for _, names, bounds in _sets(batch.column(1), k):
                 counts += np.bincount((names >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(names ^ np.uint64(c)))]) for c in (0x1234567, 0x9876543)]
                 n.append(np.diff(bounds))
+                sketch += _sketches(names, bounds)
                 for out, total in zip((s1, s2), sums, strict=True):
                     out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
             m = len(batch)
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), join(n), join(s1), join(s2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), join(n), join(s1), join(s2), pa.array(sketch, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         each = np.minimum(counts, 255).astype(np.uint8).reshape(RANGES, -1)
         none = pa.nulls(RANGES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(np.arange(RANGES), pa.int32()), pa.array([x.tobytes() for x in each], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(RANGES, pa.binary()), pa.array(np.arange(RANGES), pa.int32()), pa.array([x.tobytes() for x in each], pa.binary())], schema=schema)
 
     return run
 
@@ -87,7 +99,7 @@ def _prefixes(shared, k: int, num: int, den: int, bits: int, most: int):
         table = shared.value
         usual = float(table.mean())
         for batch in batches:
-            token, rows, matches = [], [], []
+            token, rows, matches, total = [], [], [], []
             for a, names, bounds in _sets(batch.column(1), k):
                 load = table[(names >> np.uint64(64 - bits)).astype(np.int64)]
                 for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -102,8 +114,9 @@ def _prefixes(shared, k: int, num: int, den: int, bits: int, most: int):
                     token.append(names[x:y][order[:size]])
                     rows += [a + i] * size
                     matches += [many] * size
+                    total += [n] * size
             got = np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(matches, pa.int8())], names=["token", "node", "l"])
+            yield pa.RecordBatch.from_arrays([pa.array(got), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(matches, pa.int8()), pa.array(total, pa.int64())], names=["token", "node", "l", "n"])
 
     return run
 
@@ -151,10 +164,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     num, den = _tenths(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if bits is None:
-        bits = min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 2))
-    kinds = "doc_id long, n long, s1 long, s2 long, part int, counts binary"
+        bits = min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 5))
+    kinds = "doc_id long, n long, s1 long, s2 long, sketch binary, part int, counts binary"
     described = stored(map_arrow(texts, _describe(k, bits), kinds), "sets")
-    sets = described.filter("part is null").select("doc_id", "n", "s1", "s2")
+    sets = described.filter("part is null").select("doc_id", "n", "s1", "s2", "sketch")
     totals = map_arrow(described.filter("part is not null").select("part", "counts").repartition(RANGES, "part"), _add_counts, "part int, counts binary")
     table = np.zeros((RANGES, (1 << bits) // RANGES), np.uint16)
     for r in totals.collect():  # 2**bits numbers in all
@@ -166,11 +179,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     copies = stored(sets.join(copied, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
 
     singles = texts.filter("doc_id is not null").join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
-    postings = stored(map_arrow(singles, _prefixes(shared, k, num, den, bits, most_matches), "token long, node long, l byte"), "postings")
+    postings = stored(map_arrow(singles, _prefixes(shared, k, num, den, bits, most_matches), "token long, node long, l byte, n long"), "postings")
     groups = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "groups")
     twos = groups.filter("m = 2").groupBy(F.col("lo").alias("a"), F.col("hi").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     larger = stored(groups.filter("m > 2").select("token"), "larger")
-    members = stored(postings.join(small(larger), "token").select(F.col("token").alias("g"), "node").distinct(), "members")
+    both = postings.join(small(larger), "token").select("token", "node").distinct()
+    members = stored(both, "members")
+    ends = twos.select(F.explode(F.array("a", "b")).alias("node"), "shared").unionByName(members.select("node", F.lit(1).cast("long").alias("shared")))
+    met = ends.groupBy("node").agg(F.sum("shared").alias("met"))
+    # lone: shingles of the prefix that no other document's prefix has
+    sizes = postings.select("token", "node", "n").distinct().groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("p"))
+    nodes = stored(sizes.join(met, "node").select("node", "n", "p", (F.col("p") - F.col("met")).alias("lone")), "nodes")
+    members = stored(members.join(nodes, "node"), "members")
+    most = "least(n - lone, other_n - other_lone)"
+    alike = f"{num + den} * {most} >= {num} * (n + other_n)"
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
@@ -179,14 +201,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
         full = pairs.join(named.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         return map_arrow(full.select("a", "b", "x", "y"), _similar(num, den), "a long, b long")
 
-    links, labelled = star_links(members, verify, rounds=3, more_than=star_size)
-    labels = stored(labelled.filter("node <> c").select("node", "c").distinct(), "labels")
+    def verify_likely(pairs: DataFrame) -> DataFrame:
+        sketches = sets.select("doc_id", F.transform(F.split(F.hex("sketch"), "(?<=\\G..)"), lambda x: x).alias("sketch")).dropDuplicates(["doc_id"])
+        t = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
+        return verify(t.filter(F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same)) >= round(16 * (threshold - 0.15))).select("a", "b"))
+
+    sized = members.select(F.xxhash64("token", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold))).alias("g"), "node", F.col("lone").alias("rank")) if threshold < 1 else members.select(F.col("token").alias("g"), "node", F.col("lone").alias("rank"))
+    links, _ = star_links(sized, verify_likely, rounds=3, more_than=star_size)
+    labels = components(links).select("node", F.col("component").alias("c")) if links is not None else copies.limit(0).select(F.col("doc_id").alias("node"), F.col("rep").alias("c"))
+    labels = stored(labels, "labels")
+    labelled = members.join(labels, "node", "left").select(F.col("token").alias("g"), "node", F.coalesce("c", "node").alias("c"), "n", "lone")
     far = twos.join(labels.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
     far = far.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "shared")
-    counted = far.unionByName(spread_pairs(labelled).withColumn("shared", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    matches = postings.groupBy("node").agg(F.min("l").alias("l"))
-    pairs = counted.join(matches.withColumnsRenamed({"node": "a", "l": "la"}), "a").join(matches.withColumnsRenamed({"node": "b", "l": "lb"}), "b")
-    found = verify(pairs.filter("shared >= least(la, lb)").select("a", "b"))
+    near = spread_pairs(stored(labelled, "labelled"), alike).withColumn("shared", F.lit(1).cast("long"))
+    counted = far.unionByName(near).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    one = nodes.select(F.col("node").alias("a"), "n", "p", "lone")
+    two = nodes.withColumnsRenamed({"node": "b"} | {x: f"other_{x}" for x in ("n", "p", "lone")})
+    # the overlap that this pair needs, less what the prefix that ends first leaves open
+    needed = F.expr(f"greatest(1, ceil({num} * (n + other_n) / {num + den}) - greatest(n - p, other_n - other_p))")
+    pairs = counted.join(one, "a").join(two, "b").filter(F.expr(f"{den} * least(n, other_n) >= {num} * greatest(n, other_n)") & F.expr(alike))
+    found = verify(pairs.filter(F.col("shared") >= needed).select("a", "b"))
     every = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(found)
     if links is not None:
         every = every.unionByName(links)
