@@ -75,7 +75,7 @@ def _add_counts(batches):
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = np.frombuffer(counts.as_py(), np.uint8).astype(np.uint32)
             total[part] = total[part] + own if part in total else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 32767).astype(np.uint16).tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
 
 def _tenths(threshold: float) -> tuple[int, int]:
@@ -99,7 +99,7 @@ def _prefixes(shared, k: int, num: int, den: int, bits: int, most: int):
         table = shared.value
         usual = float(table.mean())
         for batch in batches:
-            token, rows, matches, total = [], [], [], []
+            token, rows, matches, total, ends = [], [], [], [], []
             for a, names, bounds in _sets(batch.column(1), k):
                 load = table[(names >> np.uint64(64 - bits)).astype(np.int64)]
                 for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -112,11 +112,13 @@ def _prefixes(shared, k: int, num: int, den: int, bits: int, most: int):
                     many = choose_matches(own[order], n, least, usual, most)
                     size = min(n, n - least + many)
                     token.append(names[x:y][order[:size]])
+                    last = order[size - 1]
+                    ends += [int(own[last]) << 47 | int(names[x + last]) >> 17] * size
                     rows += [a + i] * size
                     matches += [many] * size
                     total += [n] * size
             got = np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(matches, pa.int8()), pa.array(total, pa.int64())], names=["token", "node", "l", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(got), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(matches, pa.int8()), pa.array(total, pa.int64()), pa.array(ends, pa.int64())], names=["token", "node", "l", "n", "last"])
 
     return run
 
@@ -179,7 +181,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     copies = stored(sets.join(copied, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
 
     singles = texts.filter("doc_id is not null").join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
-    postings = stored(map_arrow(singles, _prefixes(shared, k, num, den, bits, most_matches), "token long, node long, l byte, n long"), "postings")
+    postings = stored(map_arrow(singles, _prefixes(shared, k, num, den, bits, most_matches), "token long, node long, l byte, n long, last long"), "postings")
     groups = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "groups")
     twos = groups.filter("m = 2").groupBy(F.col("lo").alias("a"), F.col("hi").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     larger = stored(groups.filter("m > 2").select("token"), "larger")
@@ -188,11 +190,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     ends = twos.select(F.explode(F.array("a", "b")).alias("node"), "shared").unionByName(members.select("node", F.lit(1).cast("long").alias("shared")))
     met = ends.groupBy("node").agg(F.sum("shared").alias("met"))
     # lone: shingles of the prefix that no other document's prefix has
-    sizes = postings.select("token", "node", "n").distinct().groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("p"))
-    nodes = stored(sizes.join(met, "node").select("node", "n", "p", (F.col("p") - F.col("met")).alias("lone")), "nodes")
+    sizes = postings.select("token", "node", "n", "last").distinct().groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last"), F.count(F.lit(1)).alias("p"))
+    nodes = stored(sizes.join(met, "node").select("node", "n", "last", "p", (F.col("p") - F.col("met")).alias("lone")), "nodes")
     members = stored(members.join(nodes, "node"), "members")
-    most = "least(n - lone, other_n - other_lone)"
-    alike = f"{num + den} * {most} >= {num} * (n + other_n)"
+    # up to where the first of two prefixes ends, what one lacks the other lacks for certain; last: where it ends, to 64 bits
+    first = lambda x: f"CASE WHEN last < other_last THEN {x.replace('?', '')} WHEN last > other_last THEN {x.replace('?', 'other_')} ELSE greatest({x.replace('?', '')}, {x.replace('?', 'other_')}) END"
+    alike = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) AND {num + den} * ({first('?n - ?lone')}) >= {num} * (n + other_n)"
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
@@ -210,16 +213,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     links, _ = star_links(sized, verify_likely, rounds=3, more_than=star_size)
     labels = components(links).select("node", F.col("component").alias("c")) if links is not None else copies.limit(0).select(F.col("doc_id").alias("node"), F.col("rep").alias("c"))
     labels = stored(labels, "labels")
-    labelled = members.join(labels, "node", "left").select(F.col("token").alias("g"), "node", F.coalesce("c", "node").alias("c"), "n", "lone")
+    labelled = members.join(labels, "node", "left").select(F.col("token").alias("g"), "node", F.coalesce("c", "node").alias("c"), "n", "lone", "last")
     far = twos.join(labels.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
     far = far.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "shared")
     near = spread_pairs(stored(labelled, "labelled"), alike).withColumn("shared", F.lit(1).cast("long"))
     counted = far.unionByName(near).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    one = nodes.select(F.col("node").alias("a"), "n", "p", "lone")
-    two = nodes.withColumnsRenamed({"node": "b"} | {x: f"other_{x}" for x in ("n", "p", "lone")})
+    one = nodes.select(F.col("node").alias("a"), "n", "p", "lone", "last")
+    two = nodes.withColumnsRenamed({"node": "b"} | {x: f"other_{x}" for x in ("n", "p", "lone", "last")})
     # the overlap that this pair needs, less what the prefix that ends first leaves open
-    needed = F.expr(f"greatest(1, ceil({num} * (n + other_n) / {num + den}) - greatest(n - p, other_n - other_p))")
-    pairs = counted.join(one, "a").join(two, "b").filter(F.expr(f"{den} * least(n, other_n) >= {num} * greatest(n, other_n)") & F.expr(alike))
+    needed = F.expr(f"greatest(1, ceil({num} * (n + other_n) / {num + den}) - ({first('?n - ?p')}))")
+    pairs = counted.join(one, "a").join(two, "b").filter(alike)
     found = verify(pairs.filter(F.col("shared") >= needed).select("a", "b"))
     every = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(found)
     if links is not None:
