@@ -2,7 +2,7 @@
 
 Signatures are minima of character shingles under XOR orders (the minimum of
 ``h ^ c`` is the hash nearest to c, another uniform draw for each c); shingles of
-eight characters begin at words and at non-ASCII characters. Lines that share a
+eight characters begin at words (in scripts without spaces, at letters). Lines that share a
 band are held against each other by the exact Jaccard similarity of their sets of
 all five-character shingles; similar lines join components, and of each component
 one line stays.
@@ -10,7 +10,9 @@ one line stays.
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +21,23 @@ from .common import stored
 from .graph import link_groups, small
 
 BREAK = r"\r?\n"
-STARTS = r"(?s)(?:(?<=\s)|^|(?=[^\x00-\x7F]))(?=(\S.{0,7}))"
+#: The eight characters from the beginning of each word, or from each letter of the scripts that set no spaces.
+STARTS = r"(?s)(?=(\S.{0,7}))(?:[\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}\x{2E80}-\x{10FFFF}]|[^\s\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}\x{2E80}-\x{10FFFF}]+)\s*"
 
 
-def signature(line: Column, bands: int, rows: int, seed: int) -> Column:
-    """One key a band from ``rows`` minima."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def signature(line: Column, size: int, seed: int) -> Column:
+    """``size`` minima."""
     draw = random.Random(seed)
-    constants = F.array(*[F.lit(draw.getrandbits(64) - (1 << 63)) for _ in range(bands * rows)])
-    starts = F.regexp_extract_all(line, F.lit(STARTS), F.lit(1))
-    hashes = F.transform(F.when(F.size(starts) > 0, starts).otherwise(F.array(line)), lambda s: F.xxhash64(s))
-    return F.transform(constants, lambda c: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(c))))
+    constants = [draw.getrandbits(64) - (1 << 63) for _ in range(size)]
+    starts = let(F.regexp_extract_all(line, F.lit(STARTS), F.lit(1)), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(line)))
+    hashes = F.transform(starts, lambda s: F.xxhash64(s))
+    xor = lambda c: lambda h: h.bitwiseXOR(F.lit(c))
+    return let(hashes, lambda hs: F.array(*[F.array_min(F.transform(hs, xor(c))) for c in constants]))
 
 
 def shingle_set(line: Column) -> Column:
@@ -37,7 +46,7 @@ def shingle_set(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, seed: int) -> DataFrame:
-    """row, doc_id, no, occ, h1, h2 and b0.. of every line; the last are null for a blank line."""
+    """row, doc_id, no, occ, h1, h2, b0.. and the minima mod 251 of every line; the last are null for a blank line."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = texts.select("row", "doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
     lines = lines.withColumn("line", F.when(F.col("line").rlike(r"\S"), F.col("line")))
@@ -48,13 +57,22 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: i
         F.monotonically_increasing_id().alias("occ"),
         F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h1"),
         F.when(F.col("line").isNotNull(), F.xxhash64(F.lit(1), "line")).alias("h2"),
-        F.when(F.col("line").isNotNull(), signature(F.col("line"), bands, rows, seed)).alias("m"),
+        F.when(F.col("line").isNotNull(), signature(F.col("line"), bands * rows, seed)).alias("m"),
     )
     keys = [F.when(F.col("m").isNotNull(), F.xxhash64(F.lit(i), *[F.get("m", F.lit(i * rows + j)) for j in range(rows)])).alias(f"b{i}") for i in range(bands)]
-    return named.select("row", "doc_id", "no", "occ", "h1", "h2", *keys)
+    sketch = F.transform("m", lambda m: F.pmod(m, F.lit(251)).cast("short")).alias("sketch")
+    return named.select("row", "doc_id", "no", "occ", "h1", "h2", *keys, sketch)
+
 
+def _lower_tail(n: int, p: float, chance: float) -> int:
+    """The largest k such that a binomial count falls below k with at most ``chance``."""
+    below = k = 0
+    while k < n and (below := below + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= chance:
+        k += 1
+    return k
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = 6, rows: int = 2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+
+def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = 6, rows: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(occurrences, (h1, h2, class) of the lines that occur more than once or are like another)."""
     every = stored(occurrences(docs, id_col, text_col, bands, rows, seed), "lines")
     bs = [f"b{i}" for i in range(bands)]
@@ -73,17 +91,22 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(small(holders), "doc_id", "left_semi")
     lines = texts.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
     lines = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    sketches = stored(every.join(small(wanted), "occ").select("occ", "sketch"), "sketches")
     lines = stored(lines.join(small(places), ["doc_id", "no", "h1", "h2"]).select("occ", "line").dropDuplicates(["occ"]), "texts")
 
+    # of bands * rows minima at least so many agree but for one pair in ten thousand at the threshold
+    agree = _lower_tail(bands * rows, threshold, 1e-4)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        t = pairs.join(lines.select(F.col("occ").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("occ").alias("b"), F.col("line").alias("lb")), "b")
-        # a set is at least threshold times as large as one it is like; lengths bound sets from above only
-        t = t.select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
-        t = t.filter(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")))
-        common = F.size(F.array_intersect("sa", "sb"))
-        return t.filter(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    classes = link_groups(members, verify).select(F.col("node").alias("line_id"), "component")
+        t = pairs.join(sketches.select(F.col("occ").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("occ").alias("b"), F.col("sketch").alias("kb")), "b")
+        t = t.filter(F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda same: same)) >= agree).select("a", "b")
+        t = t.join(lines.select(F.col("occ").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("occ").alias("b"), F.col("line").alias("lb")), "b")
+        both = F.struct(shingle_set(F.col("la")).alias("x"), shingle_set(F.col("lb")).alias("y"))
+        sizes = let(both, lambda s: F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("common")))
+        t = t.select("a", "b", sizes.alias("s"))
+        return t.filter(F.col("s.common") >= threshold * (F.col("s.x") + F.col("s.y") - F.col("s.common"))).select("a", "b")
+
+    classes = link_groups(members, verify, star_rounds=2, more_than=8).select(F.col("node").alias("line_id"), "component")
     repeated = distinct.join(classes, "line_id", "left").filter("n > 1 or component is not null")
     return every, stored(repeated.select("h1", "h2", F.coalesce("component", "line_id").alias("class")), "classes")
 
