@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .graph import without
 
 #: At least 384 characters, then on to the next "e " or "a "; 4096 where there is none.
 CHUNK = r"(?s).{384,4096}?(?<=[ea] )|.{1,4096}"
@@ -77,7 +78,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; ids are taken to be unique and not null."""
     gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return without(docs, gone, id_col)
 
 
 ORACLE = r"""

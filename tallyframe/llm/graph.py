@@ -18,6 +18,11 @@ def small(side: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= most else side
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (one column of that name); a null id stays."""
+    return docs.join(small(stored(gone.distinct(), "gone")), id_col, "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node, component (the smallest node reachable) of every node of ``edges`` (a, b).
 

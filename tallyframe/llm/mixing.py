@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .graph import small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -147,6 +148,12 @@ def registered_mix(docs: DataFrame) -> DataFrame:
     return mix(docs, source_domain(F.col("source")), WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS)
 
 
+def mixed_documents(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that the registered mix takes, each once, with all their columns; ids are taken to be unique."""
+    chosen = mix(docs, source_domain(F.col("source")), WEIGHTS, budget_percent, max_epochs=1, id_col=id_col)
+    return docs.join(small(stored(chosen.select(F.col("doc_id").alias(id_col)).distinct(), "chosen")), id_col, "left_semi").select(*docs.columns)
+
+
 def _level_sql(depth: int, table: str, above: str | None) -> str:
     levels = ["domain", "lang", "source"]
     path, parent = ", ".join(levels[: depth + 1]), ", ".join(f"n.{x}" for x in levels[:depth])

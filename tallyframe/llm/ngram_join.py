@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, mix64, shingles, stored, text_chunks, word_hashes, words
-from .graph import components, small, spread_pairs, star_links
+from .graph import components, small, spread_pairs, star_links, without
 
 RANGES = 64
 
@@ -235,4 +235,4 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
 def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
     gone = jaccard_components(docs, k, threshold, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return without(docs, gone, id_col)

@@ -10,8 +10,9 @@ So as not to shuffle every position, a window of ``length`` bytes is followed
 through the smallest of its 64-byte names, its anchor: equal windows have equal
 anchors at equal offsets. The windows of one anchor are a run of positions, and
 their union, the anchor's span, is named from pairs as well. Of anchors whose name
-repeats, equal spans repeat as a whole; where one anchor name has several spans,
-the windows of each different span are named at full length and grouped once more.
+repeats, equal spans repeat as a whole. Where one anchor name has several spans,
+each different one goes on to the next round, in pieces of eight windows named by
+the bytes that all eight share, and then as single windows of the full length.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from .common import _BASE, _BASE_INV, _BYTE, _power, discard, map_arrow, mix64,
 from .graph import SMALL_ROWS, small
 
 GRAM = 64
+PIECE = 8
 PLACE_BITS = 21
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 NO_ID = -(1 << 63)
 
-ANCHORS = "gram long, sa long, sb long, doc_id long, th int, start long, windows int"
+ANCHORS = "gram long, sa long, sb long, doc_id long, th int, start long, windows int, lead int"
 
 
 def doubled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +60,12 @@ def range_name(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, gram, span name, second span name) of each anchor; ``data`` has at most 2**21 bytes."""
+    """(first window, windows, gram, span name, second span name, anchor less first) of each anchor; ``data`` has at most 2**21 bytes."""
     wide = length - GRAM + 1
     valid = np.zeros(len(data) + 1, np.int8)
     long = np.flatnonzero(np.diff(offsets) >= length)
     if not len(long):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     valid[offsets[long]] += 1
     np.add.at(valid, offsets[long + 1] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(valid, dtype=np.int8))
@@ -86,7 +88,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     for x in (first + (end - first - half) // 2, end - half):  # three names of 128 bytes cover the span
         span = mix64(span * np.uint64(0x9E3779B97F4A7C15) + longer[x])
     span = mix64(span + (end - first).astype(np.uint64) + ((p - first).astype(np.uint64) << np.uint64(32)))
-    return first, count, gram[p], span, range_name(summed(data), first, end)
+    return first, count, gram[p], span, range_name(summed(data), first, end), p - first
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int, most: int = 1 << 20):
@@ -105,40 +107,87 @@ def _find(length: int):
         for batch in batches:
             for a, _, data, offsets in text_chunks(batch.column(2), 1 << 19):
                 for row, shift, part, bounds in _pieces(data, offsets, length):
-                    first, count, gram, span, second = anchors(part, bounds, length)
+                    first, count, gram, span, second, lead = anchors(part, bounds, length)
                     own = np.searchsorted(bounds, first, "right") - 1
                     rows = pa.array(a + (own if row is None else np.full(len(first), row)), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), pa.array(second.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - bounds[own] + shift), pa.array(count, pa.int32())],
-                        names=["gram", "sa", "sb", "doc_id", "th", "start", "windows"],
+                        [pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), pa.array(second.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - bounds[own] + shift), pa.array(count, pa.int32()), pa.array(lead, pa.int32())],
+                        names=["gram", "sa", "sb", "doc_id", "th", "start", "windows", "lead"],
                     )
 
     return run
 
 
-def _name_windows(length: int):
-    """Full-length names of the windows asked for: column 3 has (id, start, windows) triples."""
+def _asked(batch, columns: int):
+    """(text, columns of its requests) of each row, 512 requests at a time; column 3 has the requests."""
+    for i in range(len(batch)):
+        data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
+        values = batch.column(3)[i].values
+        fields = [np.asarray(values.field(c), np.int64) for c in range(columns)]
+        for low in range(0, len(fields[0]), 512):
+            yield data, [f[low : low + 512] for f in fields]
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1 .. size - 1 for each of ``sizes``."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of the ranges one after another, where each begins there)."""
+    return data[np.repeat(start, sizes) + _within(sizes)], np.cumsum(sizes) - sizes
+
+
+def _pair(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The name of the bytes from a to b, at most 256 of them, from the names of its first and last 128."""
+    return mix64(names[a] * np.uint64(0x9E3779B97F4A7C15) + names[b - 2 * GRAM] + (b - a).astype(np.uint64))
+
+
+def _emit(columns: list[list[np.ndarray]], names: list[str]):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in columns], names=names)
+
+
+def _name_pieces(length: int):
+    """A run's windows, cut into pieces of 8 by their distance from the anchor: the bytes common to a whole piece, and the piece's span."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for data, (ids, start, windows, lead) in _asked(batch, 4):
+                text, begin = _gathered(data, start, windows + length - 1)
+                low = (lead - windows + 1) // PIECE  # distances run from lead down
+                count = lead // PIECE - low + 1
+                row = np.repeat(np.arange(len(ids)), count)
+                piece = low[row] + _within(count)
+                core = begin[row] + lead[row] - PIECE * piece
+                first = np.maximum(begin[row], core - PIECE + 1)
+                last = np.minimum(begin[row] + windows[row] - 1, core)
+                _, longer = doubled(text)
+                sums = summed(text)
+                out[0].append(_pair(longer, core, core + length - PIECE + 1).view(np.int64))
+                out[1].append(_pair(longer, first, last + length).view(np.int64))
+                out[2].append(range_name(sums, first, last + length).view(np.int64))
+                out[3].append(ids[row])
+                out[4].append(first - begin[row] + start[row])
+                out[5].append(last - first + 1)
+            yield _emit(out, ["gram", "sa", "sb", "id", "start", "windows"])
+
+    return run
 
+
+def _name_windows(length: int):
     def run(batches):
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], []]
-            for i in range(len(batch)):
-                data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-                asked = batch.column(3)[i].values
-                ids, starts, windows = (np.asarray(asked.field(c), np.int64) for c in range(3))
-                for low in range(0, len(ids), 512):
-                    part = slice(low, low + 512)
-                    sizes = windows[part] + length - 1
-                    begin = np.cumsum(sizes) - sizes
-                    text = data[np.repeat(starts[part] - begin, sizes) + np.arange(sizes.sum())]
-                    offset = np.arange(windows[part].sum()) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
-                    at = np.repeat(begin, windows[part]) + offset
-                    _, longer = doubled(text)
-                    half = 2 * GRAM
-                    out[0].append(mix64(longer[at] * np.uint64(0x9E3779B97F4A7C15) + longer[at + length - half]).view(np.int64))
-                    out[1].append(range_name(summed(text), at, at + length).view(np.int64))
-                    out[2].append(np.repeat(ids[part], windows[part]) * 1024 + offset)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], names=["na", "nb", "window"])
+            for data, (ids, start, windows) in _asked(batch, 3):
+                text, begin = _gathered(data, start, windows + length - 1)
+                offset = _within(windows)
+                at = np.repeat(begin, windows) + offset
+                _, longer = doubled(text)
+                out[0].append(_pair(longer, at, at + length).view(np.int64))
+                out[1].append(range_name(summed(text), at, at + length).view(np.int64))
+                out[2].append(np.repeat(ids, windows) * PIECE + offset)
+            yield _emit(out, ["na", "nb", "window"])
 
     return run
 
@@ -180,33 +229,55 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
 
 
+def _rerank(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round over rows of gram, sa, sb and ``place``: (places of spans that repeat as a whole, what goes on).
+
+    Unique grams go. Of the others, spans that occur again are settled; of grams with
+    several different spans one place of each goes on, with m, how often it occurs.
+    """
+    again = stored(rows.groupBy("gram").count().filter("count > 1").select("gram"), "again")
+    left = stored(rows.join(small(again, 2 * SMALL_ROWS), "gram"), "left")
+    discard(rows)
+    spans = stored(left.groupBy("gram", "sa", "sb").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*place)).alias("r")).select("gram", "sa", "sb", "m", "r.*"), "spans")
+    same = stored(spans.filter("m > 1").select("gram", "sa", "sb"), "same")
+    differ = stored(spans.groupBy("gram").count().filter("count > 1").select("gram"), "differ")
+    return left.join(small(same), ["gram", "sa", "sb"]).select(*place), spans.join(small(differ), "gram").select(*place, "m")
+
+
+def _with_texts(texts: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, th, the text's bytes and its requests; of equal rows any one would do."""
+    requests = stored(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("asked")), "requests")
+    few = F.broadcast(requests) if asked.count() <= SMALL_ROWS else requests  # a request is a few numbers
+    return texts.join(few, ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
+
+
 def repeated_runs(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th and the maximal runs (start, end, start, end ...) of bytes in repeated substrings."""
-    if not 2 * GRAM <= length <= 3 * 2 * GRAM // 2 + GRAM:
-        raise ValueError(f"length must be from {2 * GRAM} to {3 * GRAM + GRAM}")
+    if not 2 * GRAM + PIECE <= length <= 4 * GRAM - PIECE:
+        raise ValueError(f"length must be from {2 * GRAM + PIECE} to {4 * GRAM - PIECE}")
     texts = _keyed(docs, id_col, text_col)
+    interval = ["doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end")]
+
     every = stored(map_arrow(texts.filter(F.octet_length("text") >= length), _find(length), ANCHORS), "anchors")
-    again = stored(every.groupBy("gram").count().filter("count > 1").select("gram"), "again")
-    left = stored(every.join(small(again, 2 * SMALL_ROWS), "gram"), "left")
-    discard(every)
-    spans = stored(left.groupBy("gram", "sa", "sb").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("r")).select("gram", "sa", "sb", "m", "r.*"), "spans")
-    same = stored(spans.filter("m > 1").select("gram", "sa", "sb"), "same")
-    whole = left.join(small(same), ["gram", "sa", "sb"]).select("doc_id", "th", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
-    differ = stored(spans.groupBy("gram").count().filter("count > 1").select("gram"), "differ")
-    asked = stored(spans.join(small(differ), "gram").select(F.monotonically_increasing_id().alias("id"), "doc_id", "th", "start", "windows", "m"), "asked")
-    by_text = stored(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("id", "start", "windows")).alias("asked")), "requests")
-    few = by_text if asked.count() > SMALL_ROWS else F.broadcast(by_text)  # a request has three numbers
-    # one text of several equal rows is enough
-    bytes_of = texts.join(few, ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
-    named = stored(map_arrow(bytes_of, _name_windows(length), "na long, nb long, window long"), "windows")
+    whole, rest = _rerank(every, ["doc_id", "th", "start", "windows", "lead"])
+    runs = stored(rest.withColumn("id", F.monotonically_increasing_id()), "asked")
+    alone = runs.filter("m = 1").select("id", "doc_id", "th")
+
+    pieces = map_arrow(_with_texts(texts, runs, "id", "start", "windows", "lead"), _name_pieces(length), "gram long, sa long, sb long, id long, start long, windows long")
+    settled, rest = _rerank(stored(pieces, "pieces"), ["id", "start", "windows"])
+    parts = stored(rest.withColumnRenamed("id", "run").withColumn("id", F.monotonically_increasing_id()), "asked")
+
+    asked = parts.join(runs.select(F.col("id").alias("run"), "doc_id", "th"), "run")
+    named = stored(map_arrow(_with_texts(texts, asked, "id", "start", "windows"), _name_windows(length), "na long, nb long, window long"), "windows")
     groups = stored(named.groupBy("na", "nb").agg(F.min("window").alias("lo"), F.max("window").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi"), "groups")
     two = groups.select(F.explode(F.array("lo", "hi")).alias("window"))
     more = named.join(small(stored(groups.filter("m > 2").select("na", "nb"), "more")), ["na", "nb"]).select("window")
-    found = two.unionByName(more).distinct().select(F.expr("window div 1024").alias("id"), F.expr("window % 1024").alias("offset"))
-    alone = asked.filter("m = 1").select("id", "doc_id", "th", "start")
-    part = found.join(alone, "id").select("doc_id", "th", (F.col("start") + F.col("offset")).alias("start"), (F.col("start") + F.col("offset") + length).alias("end"))
+    found = two.unionByName(more).distinct().select(F.expr(f"window div {PIECE}").alias("id"), F.expr(f"window % {PIECE}").alias("offset"))
+    single = found.join(parts.filter("m = 1").select("id", "run", "start"), "id").select(F.col("run").alias("id"), (F.col("start") + F.col("offset")).alias("start"), F.lit(1).cast("long").alias("windows"))
+
+    inside = settled.unionByName(single).join(alone, "id")
     # a document's intervals are at most as many as its bytes
-    pairs = whole.unionByName(part).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("pairs"))
+    pairs = whole.select(*interval).unionByName(inside.select(*interval)).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("pairs"))
     return map_arrow(pairs, _merge, "doc_id long, th int, runs array<long>")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BASE, _BASE_INV, _BYTE_LOWER, _power, map_arrow, mix64, text_chunks, words
+from .graph import without
 
 BITS = 18
 BEGINNINGS = (4, 5, 6)
@@ -227,3 +228,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.35)
     """
     chain = train(docs, labels, categories())
     return score(docs, chain).withColumn("rejected", F.col("p_toxic") >= threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    return without(docs, toxic_documents(docs, labels).filter("rejected").select(F.col("doc_id").alias(id_col)), id_col)
