@@ -150,7 +150,7 @@ def _similar(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", most_matches: int = 8, star_size: int = 8, bits: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", most_matches: int = 8, star_size: int = 8, rare_size: int = 32, bits: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct
@@ -184,18 +184,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     postings = stored(map_arrow(singles, _prefixes(shared, k, num, den, bits, most_matches), "token long, node long, l byte, n long, last long"), "postings")
     groups = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "groups")
     twos = groups.filter("m = 2").groupBy(F.col("lo").alias("a"), F.col("hi").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    larger = stored(groups.filter("m > 2").select("token"), "larger")
-    both = postings.join(small(larger), "token").select("token", "node").distinct()
-    members = stored(both, "members")
-    ends = twos.select(F.explode(F.array("a", "b")).alias("node"), "shared").unionByName(members.select("node", F.lit(1).cast("long").alias("shared")))
-    met = ends.groupBy("node").agg(F.sum("shared").alias("met"))
-    # lone: shingles of the prefix that no other document's prefix has
+    larger = stored(groups.filter("m > 2").select("token", "m"), "larger")
+    members = stored(postings.join(small(larger), "token").select("token", "m", "node").distinct(), "members")
+    one = F.lit(1).cast("long")
+    ends = twos.select(F.explode(F.array("a", "b")).alias("node"), "shared", F.lit(0).cast("long").alias("big")).unionByName(members.select("node", one.alias("shared"), F.when(F.col("m") > rare_size, one).otherwise(0).alias("big")))
+    met = ends.groupBy("node").agg(F.sum("shared").alias("met"), F.sum("big").alias("big"))
+    # lone: shingles of the prefix that no other document's prefix has; big: those of large groups
     sizes = postings.select("token", "node", "n", "last").distinct().groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last"), F.count(F.lit(1)).alias("p"))
-    nodes = stored(sizes.join(met, "node").select("node", "n", "last", "p", (F.col("p") - F.col("met")).alias("lone")), "nodes")
+    nodes = stored(sizes.join(met, "node").select("node", "n", "last", "p", (F.col("p") - F.col("met")).alias("lone"), "big"), "nodes")
     members = stored(members.join(nodes, "node"), "members")
     # up to where the first of two prefixes ends, what one lacks the other lacks for certain; last: where it ends, to 64 bits
     first = lambda x: f"CASE WHEN last < other_last THEN {x.replace('?', '')} WHEN last > other_last THEN {x.replace('?', 'other_')} ELSE greatest({x.replace('?', '')}, {x.replace('?', 'other_')}) END"
     alike = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) AND {num + den} * ({first('?n - ?lone')}) >= {num} * (n + other_n)"
+    # a pair that shares no shingle of a smaller group lacks them all
+    alike_big = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) AND {num + den} * ({first('?n - ?p + ?big')}) >= {num} * (n + other_n)"
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
@@ -213,17 +215,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     links, _ = star_links(sized, verify_likely, rounds=3, more_than=star_size)
     labels = components(links).select("node", F.col("component").alias("c")) if links is not None else copies.limit(0).select(F.col("doc_id").alias("node"), F.col("rep").alias("c"))
     labels = stored(labels, "labels")
-    labelled = members.join(labels, "node", "left").select(F.col("token").alias("g"), "node", F.coalesce("c", "node").alias("c"), "n", "lone", "last")
+    labelled = stored(members.join(labels, "node", "left").select(F.col("token").alias("g"), "m", "node", F.coalesce("c", "node").alias("c"), "n", "p", "lone", "big", "last"), "labelled")
     far = twos.join(labels.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
     far = far.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "shared")
-    near = spread_pairs(stored(labelled, "labelled"), alike).withColumn("shared", F.lit(1).cast("long"))
-    counted = far.unionByName(near).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    one = nodes.select(F.col("node").alias("a"), "n", "p", "lone", "last")
-    two = nodes.withColumnsRenamed({"node": "b"} | {x: f"other_{x}" for x in ("n", "p", "lone", "last")})
+    # pairs come from groups of up to rare_size, and from larger ones if they need no shingle of those
+    in_small = far.unionByName(spread_pairs(labelled.filter(F.col("m") <= rare_size), alike).withColumn("shared", one)).withColumn("in_big", F.lit(0).cast("long"))
+    in_big = spread_pairs(labelled.filter(F.col("m") > rare_size), alike_big).select("a", "b", F.lit(0).cast("long").alias("shared"), one.alias("in_big"))
+    counted = in_small.unionByName(in_big).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("in_big").alias("in_big"))
+    known = ["n", "p", "lone", "big", "last"]
+    counted = counted.join(nodes.withColumnsRenamed({"node": "a"}), "a").join(nodes.withColumnsRenamed({"node": "b"} | {x: f"other_{x}" for x in known}), "b")
     # the overlap that this pair needs, less what the prefix that ends first leaves open
-    needed = F.expr(f"greatest(1, ceil({num} * (n + other_n) / {num + den}) - ({first('?n - ?p')}))")
-    pairs = counted.join(one, "a").join(two, "b").filter(alike)
-    found = verify(pairs.filter(F.col("shared") >= needed).select("a", "b"))
+    needed = f"greatest(1, ceil({num} * (n + other_n) / {num + den}) - ({first('?n - ?p')}))"
+    found = verify(counted.filter(f"{alike} AND shared + CASE WHEN in_big > 0 THEN in_big ELSE least(big, other_big) END >= {needed}").select("a", "b"))
     every = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(found)
     if links is not None:
         every = every.unionByName(links)
