@@ -155,7 +155,7 @@ class Compiler:
         chain = None
         for bound, beyond in ((low, lambda b: out < b), (high, lambda b: out > b)):
             if bound is not None and not (bound.is_literal and bound.literal is None):
-                chain = (chain or F).when(beyond(bound.column), bound.column)
+                chain = (F if chain is None else chain).when(beyond(bound.column), bound.column)
         return Part(out if chain is None else chain.otherwise(out), a.kind)
 
     # comparison and logic

@@ -9,10 +9,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def nfkc(c: Column) -> Column:
     """Unicode compatibility form; Spark has no such function, so plain ASCII goes round Python's."""
 
+    ship()
+
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -104,6 +108,8 @@ def best_window(a: str, b: str) -> float:
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
+    ship()
+
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else best_window(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
