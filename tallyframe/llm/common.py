@@ -6,16 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _local_root: str | None = None
-_shipped: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,17 +52,7 @@ def discard(*tables: DataFrame) -> None:
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package wherever the driver found it."""
-    global _shipped
-    context = df.sparkSession.sparkContext
-    if _shipped != context.applicationId:
-        top = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="tallyframe-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with zipfile.ZipFile(f"{folder}/{top.name}.zip", "w") as z:
-            for path in sorted(top.rglob("*.py")):
-                z.write(path, path.relative_to(top.parent))
-        context.addPyFile(f"{folder}/{top.name}.zip")
-        _shipped = context.applicationId
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
