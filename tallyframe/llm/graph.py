@@ -50,18 +50,22 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, more_than: int = 1, seed: int = 5) -> tuple[DataFrame | None, DataFrame]:
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, more_than: int = 1, linked_first: bool = False, seed: int = 5) -> tuple[DataFrame | None, DataFrame]:
     """(links found, labels g, node, c): in groups of more than ``more_than`` nodes each round holds every node against one leader.
 
     Nodes that already are in the leader's component are not held against it again.
     The leader is the node of the lowest ``rank``, if ``members`` has that column,
-    at first of all and then of those without a link.
+    at first of all and then of those without a link - or with one, so that the
+    nodes left over are held against one linked node after another.
     """
     links = None
     members = members if "rank" in members.columns else members.withColumn("rank", F.lit(0).cast("long"))
     labelled = members.withColumn("c", F.col("node"))
     for r in range(rounds):
-        order = F.struct((F.col("c") != F.col("node")).alias("linked") if r else F.lit(False).alias("linked"), "rank", F.xxhash64(F.lit(seed + r), "g", "node").alias("h"))
+        linked = F.col("c") != F.col("node")
+        turn = F.lit(False) if r == 0 else ~linked if linked_first else linked
+        # the first leader is the same in all groups that two nodes share
+        order = F.struct(turn.alias("turn"), "rank", F.xxhash64(F.lit(seed + r), "node").alias("h"))
         leaders = labelled.groupBy("g").agg(F.min_by(F.struct("node", "c"), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
         leaders = leaders.filter(f"c0 <> c1 and m > {more_than}").select("g", F.col("lead.node").alias("leader"), F.col("lead.c").alias("leader_c"))
         pairs = labelled.join(leaders, "g").filter("c <> leader_c").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -85,7 +89,7 @@ def spread_pairs(labelled: DataFrame, alike: str = "true") -> DataFrame:
     return rest.join(other, "g").filter(f"node < b and c <> cb and {alike}").select(F.col("node").alias("a"), "b")
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2, more_than: int = 1) -> DataFrame:
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> DataFrame:
     """node, component over all links among nodes that share a group; a node without links may be absent.
 
     ``members`` is a stored table of (g, node); ``verify`` takes pairs (a, b), a < b,
@@ -94,7 +98,7 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], st
     other, so no link is lost, while a large group of copies costs one pair a member
     and round.
     """
-    links, labelled = star_links(members, verify, star_rounds, more_than)
+    links, labelled = star_links(members, verify, star_rounds, linked_first=True)
     found = stored(verify(spread_pairs(labelled).distinct()), "links")
     links = found if links is None else links.unionByName(found)
     return components(links)

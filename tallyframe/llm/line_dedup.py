@@ -92,21 +92,22 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     lines = texts.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
     lines = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     sketches = stored(every.join(small(wanted), "occ").select("occ", "sketch"), "sketches")
-    lines = stored(lines.join(small(places), ["doc_id", "no", "h1", "h2"]).select("occ", "line").dropDuplicates(["occ"]), "texts")
+    lines = stored(lines.join(small(places), ["doc_id", "no", "h1", "h2"]).select("occ", "line").dropDuplicates(["occ"]).withColumn("size", F.size(shingle_set(F.col("line")))), "texts")
 
-    # of bands * rows minima at least so many agree but for one pair in ten thousand at the threshold
-    agree = _lower_tail(bands * rows, threshold, 1e-4)
+    # of bands * rows minima at least so many agree but for five pairs in a thousand at the threshold
+    agree = _lower_tail(bands * rows, threshold, 5e-3)
 
     def verify(pairs: DataFrame) -> DataFrame:
         t = pairs.join(sketches.select(F.col("occ").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("occ").alias("b"), F.col("sketch").alias("kb")), "b")
         t = t.filter(F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda same: same)) >= agree).select("a", "b")
+        sized = lines.select("occ", "size")
+        t = t.join(sized.withColumnsRenamed({"occ": "a", "size": "na"}), "a").join(sized.withColumnsRenamed({"occ": "b", "size": "nb"}), "b")
+        t = t.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
         t = t.join(lines.select(F.col("occ").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("occ").alias("b"), F.col("line").alias("lb")), "b")
-        both = F.struct(shingle_set(F.col("la")).alias("x"), shingle_set(F.col("lb")).alias("y"))
-        sizes = let(both, lambda s: F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("common")))
-        t = t.select("a", "b", sizes.alias("s"))
-        return t.filter(F.col("s.common") >= threshold * (F.col("s.x") + F.col("s.y") - F.col("s.common"))).select("a", "b")
+        common = F.size(F.array_intersect(shingle_set(F.col("la")), shingle_set(F.col("lb"))))
+        return t.filter(common >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
 
-    classes = link_groups(members, verify, star_rounds=2, more_than=8).select(F.col("node").alias("line_id"), "component")
+    classes = link_groups(members, verify, star_rounds=4).select(F.col("node").alias("line_id"), "component")
     repeated = distinct.join(classes, "line_id", "left").filter("n > 1 or component is not null")
     return every, stored(repeated.select("h1", "h2", F.coalesce("component", "line_id").alias("class")), "classes")
 

@@ -236,7 +236,7 @@ def _rerank(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     several different spans one place of each goes on, with m, how often it occurs.
     """
     again = stored(rows.groupBy("gram").count().filter("count > 1").select("gram"), "again")
-    left = stored(rows.join(small(again, 2 * SMALL_ROWS), "gram"), "left")
+    left = stored(rows.join(small(again), "gram"), "left")
     discard(rows)
     spans = stored(left.groupBy("gram", "sa", "sb").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*place)).alias("r")).select("gram", "sa", "sb", "m", "r.*"), "spans")
     same = stored(spans.filter("m > 1").select("gram", "sa", "sb"), "same")
