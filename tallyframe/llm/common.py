@@ -59,7 +59,7 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 # --- texts as one byte buffer ------------------------------------------------
 
 
-def text_chunks(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows; a null text is empty.
 
     A chunk holds whole texts and at most ``max_bytes``, unless one text alone

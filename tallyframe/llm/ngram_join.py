@@ -53,7 +53,8 @@ def _describe(k: int, bits: int):
         for batch in batches:
             n, s1, s2, sketch = [], [], [], []
             for _, names, bounds in _sets(batch.column(1), k):
-                counts += np.bincount((names >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                bucket, times = np.unique((names >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+                counts[bucket] += times.astype(np.uint32)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(names ^ np.uint64(c)))]) for c in (0x1234567, 0x9876543)]
                 n.append(np.diff(bounds))
                 sketch += _sketches(names, bounds)
@@ -166,7 +167,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     num, den = _tenths(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if bits is None:
-        bits = min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 5))
+        bits = min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 4))
     kinds = "doc_id long, n long, s1 long, s2 long, sketch binary, part int, counts binary"
     described = stored(map_arrow(texts, _describe(k, bits), kinds), "sets")
     sets = described.filter("part is null").select("doc_id", "n", "s1", "s2", "sketch")
