@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 _local_root: str | None = None
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +53,17 @@ def discard(*tables: DataFrame) -> None:
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package wherever the driver found it."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    spark = df.sparkSession
+    ship(spark)
+    # texts are long: the usual batch of 10,000 rows would be held several times over
+    if int(spark.conf.get(BATCH_ROWS)) > 1_000:
+        spark.conf.set(BATCH_ROWS, "1000")
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 # --- texts as one byte buffer ------------------------------------------------

@@ -100,8 +100,8 @@ def _prefixes(shared, k: int, num: int, den: int, bits: int, most: int):
         table = shared.value
         usual = float(table.mean())
         for batch in batches:
-            token, rows, matches, total, ends = [], [], [], [], []
-            for a, names, bounds in _sets(batch.column(1), k):
+            for a, names, bounds in _sets(batch.column(1), k):  # a batch out for a chunk in
+                token, rows, matches, total, ends = [], [], [], [], []
                 load = table[(names >> np.uint64(64 - bits)).astype(np.int64)]
                 for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     n = y - x
@@ -114,12 +114,16 @@ def _prefixes(shared, k: int, num: int, den: int, bits: int, most: int):
                     size = min(n, n - least + many)
                     token.append(names[x:y][order[:size]])
                     last = order[size - 1]
-                    ends += [int(own[last]) << 47 | int(names[x + last]) >> 17] * size
-                    rows += [a + i] * size
-                    matches += [many] * size
-                    total += [n] * size
-            got = np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(matches, pa.int8()), pa.array(total, pa.int64()), pa.array(ends, pa.int64())], names=["token", "node", "l", "n", "last"])
+                    rows.append(a + i)
+                    matches.append(many)
+                    total.append(n)
+                    ends.append(int(own[last]) << 47 | int(names[x + last]) >> 17)
+                if not token:
+                    continue
+                sizes = [len(x) for x in token]
+                spread = lambda values, kind: pa.array(np.repeat(np.array(values, kind), sizes))  # noqa: E731, B023
+                ids = batch.column(0).take(spread(rows, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), ids, spread(matches, np.int8), spread(total, np.int64), spread(ends, np.int64)], names=["token", "node", "l", "n", "last"])
 
     return run
 
@@ -127,10 +131,9 @@ def _prefixes(shared, k: int, num: int, den: int, bits: int, most: int):
 def _named_sets(k: int):
     def run(batches):
         for batch in batches:
-            out = []
-            for _, names, bounds in _sets(batch.column(1), k):
-                out += [names[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
+            for a, names, bounds in _sets(batch.column(1), k):
+                out = [names[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(out)), pa.array(out, pa.binary())], names=["node", "shingles"])
 
     return run
 
