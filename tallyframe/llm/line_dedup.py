@@ -1,11 +1,10 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 Signatures are minima of character shingles under XOR orders (the minimum of
-``h ^ c`` is the hash nearest to c, another uniform draw for each c); shingles of
-eight characters begin at words (in scripts without spaces, at letters). Lines that share a
-band are held against each other by the exact Jaccard similarity of their sets of
-all five-character shingles; similar lines join components, and of each component
-one line stays.
+``h ^ c`` is the hash nearest to c, another uniform draw for each c) over all
+five-character shingles of a line. Lines that share a band are held against each
+other by the exact Jaccard similarity of the same sets; similar lines join
+components, and of each component one line stays.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from .common import stored
 from .graph import link_groups, small
 
 BREAK = r"\r?\n"
-#: The eight characters from the beginning of each word, or from each letter of the scripts that set no spaces.
-STARTS = r"(?s)(?=(\S.{0,7}))(?:[\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}\x{2E80}-\x{10FFFF}]|[^\s\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}\x{2E80}-\x{10FFFF}]+)\s*"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -30,21 +27,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def shingle_set(line: Column) -> Column:
+    """All distinct five-character shingles; the line itself where it is shorter."""
+    return F.when(F.length(line) < 5, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1))))
+
+
 def signature(line: Column, size: int, seed: int) -> Column:
-    """``size`` minima."""
+    """``size`` minima over the shingles that ``shingle_set`` holds."""
     draw = random.Random(seed)
     constants = [draw.getrandbits(64) - (1 << 63) for _ in range(size)]
-    starts = let(F.regexp_extract_all(line, F.lit(STARTS), F.lit(1)), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(line)))
-    hashes = F.transform(starts, lambda s: F.xxhash64(s))
+    hashes = F.transform(shingle_set(line), lambda s: F.xxhash64(s))
     xor = lambda c: lambda h: h.bitwiseXOR(F.lit(c))
     return let(hashes, lambda hs: F.array(*[F.array_min(F.transform(hs, xor(c))) for c in constants]))
 
 
-def shingle_set(line: Column) -> Column:
-    """All distinct five-character shingles; the line itself where it is shorter."""
-    return F.when(F.length(line) < 5, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1))))
-
-
 def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, seed: int) -> DataFrame:
     """row, doc_id, no, occ, h1, h2, b0.. and the minima mod 251 of every line; the last are null for a blank line."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -183,6 +183,20 @@ def test_line_dedup(docs, odd):
     assert line_dedup.line_report(docs.limit(0)).count() == 0
 
 
+def linked_lines(spark, pairs):
+    """Which of the pairs of lines come out as one class; each pair is two documents of one line."""
+    docs = spark.createDataFrame([(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)], "doc_id long, text string")
+    dropped = {r["doc_id"] for r in line_dedup.line_report(docs).collect() if r["n_dropped"]}
+    return [2 * i + 1 in dropped for i in range(len(pairs))]
+
+
+def test_lines_of_one_long_word(spark):
+    r = np.random.default_rng(6)
+    tails = ["".join(r.choice(list("0123456789abcdef"), 63)) for _ in range(40)]
+    pairs = [("a" + t, "b" + t) for t in tails] + [(f"https://www.example.com/{t}", f"ftps://www.example.com/{t}") for t in reversed(tails)]
+    assert all(linked_lines(spark, pairs[:40])) and all(linked_lines(spark, pairs[40:]))
+
+
 # --- 3 ---------------------------------------------------------------------------------
 
 
