@@ -9,7 +9,6 @@ components, and of each component one line stays.
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Callable
 
@@ -42,7 +41,7 @@ def signature(line: Column, size: int, seed: int) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, seed: int) -> DataFrame:
-    """row, doc_id, no, occ, h1, h2, b0.. and the minima mod 251 of every line; the last are null for a blank line."""
+    """row, doc_id, no, occ, h1, h2, b0.. of every line; the last are null for a blank line."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = texts.select("row", "doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
     lines = lines.withColumn("line", F.when(F.col("line").rlike(r"\S"), F.col("line")))
@@ -56,19 +55,10 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: i
         F.when(F.col("line").isNotNull(), signature(F.col("line"), bands * rows, seed)).alias("m"),
     )
     keys = [F.when(F.col("m").isNotNull(), F.xxhash64(F.lit(i), *[F.get("m", F.lit(i * rows + j)) for j in range(rows)])).alias(f"b{i}") for i in range(bands)]
-    sketch = F.transform("m", lambda m: F.pmod(m, F.lit(251)).cast("short")).alias("sketch")
-    return named.select("row", "doc_id", "no", "occ", "h1", "h2", *keys, sketch)
+    return named.select("row", "doc_id", "no", "occ", "h1", "h2", *keys)
 
 
-def _lower_tail(n: int, p: float, chance: float) -> int:
-    """The largest k such that a binomial count falls below k with at most ``chance``."""
-    below = k = 0
-    while k < n and (below := below + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= chance:
-        k += 1
-    return k
-
-
-def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = 6, rows: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = 9, rows: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(occurrences, (h1, h2, class) of the lines that occur more than once or are like another)."""
     every = stored(occurrences(docs, id_col, text_col, bands, rows, seed), "lines")
     bs = [f"b{i}" for i in range(bands)]
@@ -87,17 +77,11 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(small(holders), "doc_id", "left_semi")
     lines = texts.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
     lines = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    sketches = stored(every.join(small(wanted), "occ").select("occ", "sketch"), "sketches")
     lines = stored(lines.join(small(places), ["doc_id", "no", "h1", "h2"]).select("occ", "line").dropDuplicates(["occ"]).withColumn("size", F.size(shingle_set(F.col("line")))), "texts")
 
-    # of bands * rows minima at least so many agree but for five pairs in a thousand at the threshold
-    agree = _lower_tail(bands * rows, threshold, 5e-3)
-
     def verify(pairs: DataFrame) -> DataFrame:
-        t = pairs.join(sketches.select(F.col("occ").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("occ").alias("b"), F.col("sketch").alias("kb")), "b")
-        t = t.filter(F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda same: same)) >= agree).select("a", "b")
         sized = lines.select("occ", "size")
-        t = t.join(sized.withColumnsRenamed({"occ": "a", "size": "na"}), "a").join(sized.withColumnsRenamed({"occ": "b", "size": "nb"}), "b")
+        t = pairs.join(sized.withColumnsRenamed({"occ": "a", "size": "na"}), "a").join(sized.withColumnsRenamed({"occ": "b", "size": "nb"}), "b")
         t = t.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
         t = t.join(lines.select(F.col("occ").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("occ").alias("b"), F.col("line").alias("lb")), "b")
         common = F.size(F.array_intersect(shingle_set(F.col("la")), shingle_set(F.col("lb"))))

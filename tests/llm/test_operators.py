@@ -190,6 +190,21 @@ def linked_lines(spark, pairs):
     return [2 * i + 1 in dropped for i in range(len(pairs))]
 
 
+def test_near_lines_are_candidates(spark):
+    r = np.random.default_rng(4)
+    pairs = []
+    for _ in range(400):
+        line = " ".join("".join(chr(c) for c in r.integers(97, 123, r.integers(2, 9))) for _ in range(30))
+        left, right = {line[k : k + 5] for k in range(len(line) - 4)}, set()
+        other = line
+        while len(left & right) * 10 >= 8 * len(left | right) or not right:  # up to the last change that stays above the threshold
+            kept, at = other, r.integers(0, len(other))
+            other = other[:at] + "#" + other[at + 1 :]
+            right = {other[k : k + 5] for k in range(len(other) - 4)}
+        pairs.append((line, kept))
+    assert np.mean(linked_lines(spark, pairs)) >= 0.985
+
+
 def test_lines_of_one_long_word(spark):
     r = np.random.default_rng(6)
     tails = ["".join(r.choice(list("0123456789abcdef"), 63)) for _ in range(40)]
