@@ -1,8 +1,9 @@
 """Secret scans: candidates, and a random forest that removes false positives.
 
-DataFrame functions only. A candidate is a word of at least twelve characters of
-the kind keys are made of, with a digit in it. What tells secrets from other long
-words - length, character transitions, dictionary coverage, path marks and the
+DataFrame functions only. Candidates are runs of at least twelve characters of the
+kind keys are made of, wherever they stand in a word, with a digit in them or near
+a word like "password"; and all of a value of at least eight characters that such
+a word names. What tells secrets from other long words - length, character transitions, dictionary coverage, path marks and the
 neighbouring words - is computed as columns, and a random forest trained from
 labelled findings decides.
 """
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Quotes, an optional name= or name:, the candidate, and punctuation.
-SHAPE = r"""^["'(\[<{]*(?:([A-Za-z_][A-Za-z0-9_.-]{0,40})[=:]["']?)?([A-Za-z0-9+/_.@:-]{12,}={0,2})["')\]>},;!?.]*$"""
+#: An optional name= or name: (quotes or brackets around), and a run of key characters with any delimiter around it.
+RUN = r"""(?:([A-Za-z_][A-Za-z0-9_.-]*+)["')\]}]*[=:]+["'(\[{<]*)?([A-Za-z0-9+/_.@:-]{12,}+(?:={1,2}(?![A-Za-z0-9=]))?)"""
 
 #: Words near secrets, words near other long strings, words inside harmless ones.
 NEAR_SECRET = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "credential", "bearer", "private"]
@@ -34,11 +35,22 @@ def _any(words: list[str]) -> str:
     return "(" + "|".join(words) + ")"
 
 
+#: A name that holds a secret word, and its value in the same word or, with the name in the words before, by itself.
+NAMED = rf"""(?i)({_any(NEAR_SECRET)}[A-Za-z0-9_.-]*+["')\]}}]*[=:]+["'(\[{{<]*)([^"'<>]{{8,}})"""
+NAME_BEFORE = rf"""(?i){_any(NEAR_SECRET)}[A-Za-z0-9_.-]*+["')\]}}]*[\x20]?[=:]+["'(\[{{<]*$"""
+ALONE = r"""^["'(\[{<]*([^"'<>]{8,})"""
+#: What ends a value: a further assignment, or closing punctuation.
+VALUE_END = r"""(?s)[&,;]["']?[A-Za-z_][A-Za-z0-9_.-]*+["']?[=:].*$|[)\]}>,;.]+$"""
+
+
+def _near(name: Column, before: Column, after: Column) -> Column:
+    return F.lower(F.concat_ws(" ", name, F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))))
+
+
 def with_features(found: DataFrame) -> DataFrame:
-    """Adds FEATURES to rows of ``word``, ``before`` (two words) and ``after`` (one)."""
-    core = F.regexp_extract("word", SHAPE, 2)
-    near = F.lower(F.concat_ws(" ", F.regexp_extract("word", SHAPE, 1), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))))
-    t = found.withColumn("candidate", core).withColumn("near", near)
+    """Adds FEATURES to rows of ``before`` (two words), ``after`` (one) and ``name`` and ``candidate``, or else the ``word`` they are in."""
+    t = found if "candidate" in found.columns else found.withColumns({"name": F.regexp_extract("word", RUN, 1), "candidate": F.regexp_extract("word", RUN, 2)})
+    t = t.withColumn("near", _near(F.col("name"), F.col("before"), F.col("after")))
     size = F.length("candidate").cast("double")
     count = lambda pattern: F.regexp_count("candidate", F.lit(pattern)).cast("double")
     yes = lambda c: c.cast("double")
@@ -55,15 +67,14 @@ def with_features(found: DataFrame) -> DataFrame:
         "near_other": yes(F.col("near").rlike(rf"\b{_any(NEAR_OTHER)}\b")),
         "known_prefix": yes(F.col("candidate").rlike("^(AKIA|ASIA|ghp_|gho_|glpat-|xox[bpas]-|sk-|sk_live_|AIza|eyJ)")),
     }
-    return t.withColumns(values).drop("near")
+    return t.withColumns(values).drop("near", "name")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, position (of the word in its text, from 0), word, before, after."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9]"))
+    """doc_id, position (of the word in its text, from 0), word, before, after, name, candidate; a word may hold several."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     t = rows.select("doc_id", F.split("text", SPACE).alias("w"))
-    long_word = lambda w: (F.length(w) >= 12) & w.rlike("[0-9]") & w.rlike(SHAPE) & F.regexp_extract(w, SHAPE, 2).rlike("[0-9]")
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: long_word(F.get("w", i)))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.length(F.get("w", i)) >= 8)
     found = F.transform(
         at,
         lambda i: F.struct(
@@ -73,7 +84,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.get("w", i + 1).alias("after"),
         ),
     )
-    return t.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
+    t = t.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
+    runs = F.arrays_zip(F.regexp_extract_all("word", F.lit(RUN), F.lit(1)).alias("name"), F.regexp_extract_all("word", F.lit(RUN), F.lit(2)).alias("candidate"))
+    runs = F.filter(runs, lambda r: r["candidate"].rlike("[0-9]") | _near(r["name"], F.col("before"), F.col("after")).rlike(_any(NEAR_SECRET)))
+    values = F.arrays_zip(F.regexp_extract_all("word", F.lit(NAMED), F.lit(1)).alias("name"), F.regexp_extract_all("word", F.lit(NAMED), F.lit(3)).alias("candidate"))
+    alone = F.array(F.struct(F.lit("").alias("name"), F.regexp_extract("word", ALONE, 1).alias("candidate")))
+    values = F.when(F.col("before").rlike(NAME_BEFORE), F.concat(values, alone)).otherwise(values)
+    values = F.transform(values, lambda v: F.struct(v["name"].alias("name"), F.regexp_replace(F.regexp_replace(v["candidate"], VALUE_END, ""), VALUE_END, "").alias("candidate")))
+    t = t.withColumn("runs", runs)
+    values = F.filter(values, lambda v: (F.length(v["candidate"]) >= 8) & ~F.exists("runs", lambda r: r["candidate"] == v["candidate"]))
+    return t.withColumn("found", F.explode(F.concat("runs", F.array_distinct(values)))).select("doc_id", "position", "word", "before", "after", "found.name", "found.candidate")
 
 
 def labelled_findings(spark: SparkSession, each: int = 60, seed: int = 7) -> DataFrame:
