@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .graph import without
+from .graph import small
 
 #: At least 384 characters, then on to the next "e " or "a "; 4096 where there is none.
 CHUNK = r"(?s).{384,4096}?(?<=[ea] )|.{1,4096}"
@@ -76,9 +76,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ids are taken to be unique and not null."""
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return without(docs, gone, id_col)
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts.
+
+    Rows are told apart by id and text digest, so another text under the id of a
+    copy stays; of rows equal in both, any one stays.
+    """
+    found = stored(exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256").distinct(), "copies")
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")]
+    gone, repeated = stored(found.filter(~first).select(*key), "gone"), stored(found.filter(first).select(*key), "repeated")
+    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256))
+    same = keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of"))
+    rest = keyed.join(small(gone), same, "left_anti")
+    if not repeated.isEmpty():
+        once = rest.join(small(repeated), same, "left_semi").dropDuplicates([id_col, "__sha"])
+        rest = rest.join(small(repeated), same, "left_anti").unionByName(once)
+    return rest.select(*docs.columns)
 
 
 ORACLE = r"""

@@ -32,6 +32,14 @@ def test_stages(spark):
     assert ids(packed) == ids(mixed)
 
 
+def test_copies_of_repeated_rows(spark):
+    cases = [(1, "a b", 1), (1, "a  b", 2), (2, "a b", 3), (2, "other", 4), (3, "x", 5), (3, "x", 6), (3, "y", 7), (None, "z", 8), (None, "z", 9), (4, "z", 10), (5, None, 11), (6, "", 12), (None, "w", 13)]
+    out = corpus_pipeline.drop_copies(spark, spark.createDataFrame(cases, "doc_id long, text string, no int"), SF)
+    assert out.columns == ["doc_id", "text", "no"]
+    found = sorted((str(r["doc_id"]), " ".join((r["text"] or "").split())) for r in out.collect())
+    assert found == sorted([("1", "a b"), ("2", "other"), ("3", "x"), ("3", "y"), ("None", "z"), ("5", ""), ("None", "w")])
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
