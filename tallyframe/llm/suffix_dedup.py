@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by distributed prefix doubling.
+"""Removal of repeated substrings by anchored hashing, in place of distributed prefix doubling.
 
 Rank pairs at growing offsets name ever longer substrings: the name of the 2h bytes
 at a position pairs the names of the h bytes there and h further on. Up to 64 bytes
