@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, and as a whole."""
 
+import duckdb
+
 from tallyframe.llm import mixing
 
 import corpus_pipeline
@@ -40,6 +42,16 @@ def test_copies_of_repeated_rows(spark):
     assert found == sorted([("1", "a b"), ("2", "other"), ("3", "x"), ("3", "y"), ("None", "z"), ("5", ""), ("None", "w")])
 
 
+def test_mixing_stage_keeps_an_independent_budget(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    once = mixing.ORACLE.replace("* 2 AS cap", "* 1 AS cap")
+    assert once != mixing.ORACLE
+    expected = sorted(r[0] for r in db.sql(f"SELECT doc_id FROM ({once})").fetchall())
+    out = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == expected
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
