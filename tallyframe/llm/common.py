@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 _local_root: str | None = None
+_open: list[list[DataFrame]] = []
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a folder of our own where none is named."""
+    """The cluster's shared folder; where none is named, a folder of our own, which only a local master can use."""
     global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="tallyframe-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
@@ -40,11 +45,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stored(make())``; the tables that ``make`` stored on its way are deleted once the result is written."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        out = stored(make(), name)
+    finally:
+        _open.pop()
+    discard(*[t for t in made if t is not out])
+    if _open:
+        _open[-1].append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``stored`` that no later plan reads."""
+    """Delete tables of ``stored`` that no later plan reads; one that is gone already is passed over."""
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
@@ -52,7 +73,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package wherever the driver found it."""
+    """``mapInArrow`` whose workers can import this package wherever the driver found it.
+
+    The session's Arrow batches are held to 1,000 rows, from the first call on: plans
+    are lazy and read the setting when they run.
+    """
     spark = df.sparkSession
     ship(spark)
     # texts are long: the usual batch of 10,000 rows would be held several times over

@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, settled, stored
 
-#: A side of at most so many rows of a few numbers is broadcast; beyond it both sides are shuffled.
-SMALL_ROWS = 1_000_000
+#: A side of at most so many bytes, as counted, is broadcast; beyond it both sides are shuffled.
+SMALL_BYTES = 24 << 20
 
 
-def small(side: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """``side``, which is a stored table, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(side) if side.count() <= most else side
+def counted_bytes(side: DataFrame) -> int:
+    """Bytes of all rows of ``side`` as a join holds them: 8 for a row, a column and a number, 48 for a digest in an array, and the lengths of strings."""
+    width = F.lit(16 + 8 * len(side.columns))
+    for field in side.schema:
+        kind = field.dataType
+        if kind.typeName() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind.typeName() == "array":
+            each = 48 if kind.elementType.typeName() == "binary" else 8 + 8 * len(getattr(kind.elementType, "fields", ()))
+            width = width + each * F.greatest(F.size(field.name), F.lit(0)) + 16
+    return side.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def small(side: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``side``, which is a stored table of numbers, strings and arrays of numbers, marked for broadcast if its counted bytes are few enough."""
+    return F.broadcast(side) if counted_bytes(side) <= most else side
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
@@ -23,6 +36,13 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return docs.join(small(stored(gone.distinct(), "gone")), id_col, "left_anti").select(*docs.columns)
 
 
+def without_texts(docs: DataFrame, gone: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and text digest are not in ``gone`` (__id, __of; an id may be null)."""
+    keyed = docs.withColumn("__digest", digest)
+    same = keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of"))
+    return keyed.join(small(stored(gone.distinct(), "gone")), same, "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node, component (the smallest node reachable) of every node of ``edges`` (a, b).
 
@@ -40,7 +60,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         # small star: a is the larger end
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
+        before = now
         now = stored(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
+        discard(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -50,55 +72,71 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, more_than: int = 1, linked_first: bool = False, seed: int = 5) -> tuple[DataFrame | None, DataFrame]:
-    """(links found, labels g, node, c): in groups of more than ``more_than`` nodes each round holds every node against one leader.
+def nearer(labels: DataFrame | None, links: DataFrame, hops: int = 2) -> DataFrame:
+    """node, c of every node of ``links`` (a, b): c is a node it is connected with, the smallest seen in so many hops from ``labels``.
 
-    Nodes that already are in the leader's component are not held against it again.
-    The leader is the node of the lowest ``rank``, if ``members`` has that column,
-    at first of all and then of those without a link - or with one, so that the
-    nodes left over are held against one linked node after another.
+    Equal labels mean one component, but one component may still have several
+    labels. The members of a star all get one in two hops.
+    """
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for hop in range(hops):
+        if hop == 0 and labels is None:
+            seen = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        else:
+            seen = both.join(labels.withColumnRenamed("node", "b"), "b", "left").groupBy(F.col("a").alias("node")).agg(F.min(F.coalesce("c", "b")).alias("m"))
+        if labels is None:
+            labels = seen.select("node", F.least("node", "m").alias("c"))
+        else:
+            labels = labels.join(seen, "node", "full").select("node", F.least(F.coalesce("c", "node"), F.coalesce("m", "node")).alias("c"))
+    return labels
+
+
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, more_than: int = 1, linked_first: bool = False, seed: int = 5) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links found, labels node, c): in groups of more than ``more_than`` nodes each round holds every node against one leader.
+
+    ``members`` is a stored table of (g, node) and perhaps a ``rank``. Nodes with the
+    leader's label are not held against it again. The leader is the node of the
+    lowest ``rank``, at first of all and then of those without a link - or with one,
+    so that the nodes left over are held against one linked node after another.
     """
-    links = None
+    links = labels = None
     members = members if "rank" in members.columns else members.withColumn("rank", F.lit(0).cast("long"))
-    labelled = members.withColumn("c", F.col("node"))
     for r in range(rounds):
+        known = members.withColumn("c", F.col("node")) if labels is None else members.join(small(labels), "node", "left").withColumn("c", F.coalesce("c", "node"))
         linked = F.col("c") != F.col("node")
         turn = F.lit(False) if r == 0 else ~linked if linked_first else linked
         # the first leader is the same in all groups that two nodes share
         order = F.struct(turn.alias("turn"), "rank", F.xxhash64(F.lit(seed + r), "node").alias("h"))
-        leaders = labelled.groupBy("g").agg(F.min_by(F.struct("node", "c"), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
+        leaders = known.groupBy("g").agg(F.min_by(F.struct("node", "c"), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
         leaders = leaders.filter(f"c0 <> c1 and m > {more_than}").select("g", F.col("lead.node").alias("leader"), F.col("lead.c").alias("leader_c"))
-        pairs = labelled.join(leaders, "g").filter("c <> leader_c").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = stored(verify(pairs), "links")
+        leaders = stored(leaders, "leaders")
+        pairs = known.join(small(leaders), "g").filter("c <> leader_c").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        found = settled(lambda: verify(pairs), "links")  # noqa: B023
+        discard(leaders)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        component = components(links)
-        labelled = stored(members.join(component, "node", "left").select("g", "node", "rank", F.coalesce("component", "node").alias("c")), "labelled")
-    return links, labelled
+        before = labels
+        labels = stored(nearer(before, links), "labels")
+        if before is not None:
+            discard(before)
+    return links, labels
 
 
-def spread_pairs(labelled: DataFrame, alike: str = "true") -> DataFrame:
-    """(a, b), a < b, once for each group both are in, of nodes in different components.
-
-    ``alike`` is a condition on further columns x of ``labelled`` and on other_x.
-    """
-    spread = labelled.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g")
-    rest = labelled.join(spread, "g", "left_semi")
-    other = rest.withColumnsRenamed({"node": "b", "c": "cb"} | {x: f"other_{x}" for x in rest.columns if x not in ("g", "node", "c")})
-    return rest.join(other, "g").filter(f"node < b and c <> cb and {alike}").select(F.col("node").alias("a"), "b")
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with c, the label of each node: itself where there is none."""
+    if labels is None:
+        return members.withColumn("c", F.col("node"))
+    return members.join(small(labels), "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> DataFrame:
-    """node, component over all links among nodes that share a group; a node without links may be absent.
+def spread_pairs(rows: DataFrame, alike: str = "true") -> DataFrame:
+    """(a, b), a < b, once for each group both are in, of nodes with different labels; ``rows`` has g, node, c.
 
-    ``members`` is a stored table of (g, node); ``verify`` takes pairs (a, b), a < b,
-    and returns those that link. After the star rounds only pairs of nodes that are
-    still in different components are left, and all of those are held against each
-    other, so no link is lost, while a large group of copies costs one pair a member
-    and round.
+    ``alike`` is a condition on further columns x of ``rows`` and on other_x.
     """
-    links, labelled = star_links(members, verify, star_rounds, linked_first=True)
-    found = stored(verify(spread_pairs(labelled).distinct()), "links")
-    links = found if links is None else links.unionByName(found)
-    return components(links)
+    spread = rows.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g")
+    # stored, so that the join deals both sides itself and can split a large group
+    rest = stored(rows.join(spread, "g", "left_semi"), "spread")
+    other = rest.withColumnsRenamed({"node": "b", "c": "cb"} | {x: f"other_{x}" for x in rest.columns if x not in ("g", "node", "c")})
+    return rest.join(other, "g").filter(f"node < b and c <> cb and {alike}").select(F.col("node").alias("a"), "b")

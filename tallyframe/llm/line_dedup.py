@@ -1,10 +1,12 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Signatures are minima of character shingles under XOR orders (the minimum of
-``h ^ c`` is the hash nearest to c, another uniform draw for each c) over all
-five-character shingles of a line. Lines that share a band are held against each
-other by the exact Jaccard similarity of the same sets; similar lines join
-components, and of each component one line stays.
+Signatures are minima of all five-character shingles of a line under XOR orders (the
+minimum of ``h ^ c`` is the hash nearest to c, another uniform draw for each c). All
+orders begin with the shingles of even hash, so that in a line long enough to have
+some only those can be a minimum. Lines that share a band are candidates; pairs that
+differ in too many bits of a bitmap of their shingles cannot be similar, and the
+others are held against each other by the exact Jaccard similarity of the same
+sets. Similar lines join components, and of each component one line stays.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .graph import link_groups, small
+from .common import discard, settled, stored
+from .graph import components, labelled, small, spread_pairs, star_links
 
 BREAK = r"\r?\n"
+SIZE = 5
+#: Of a line of ``ALL`` characters or more the minima are taken over the shingles of even hash, and the ``FIRST`` ones.
+ALL, FIRST = 64, 32
+WORDS = 16
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -26,70 +32,96 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def shingle_set(line: Column) -> Column:
-    """All distinct five-character shingles; the line itself where it is shorter."""
-    return F.when(F.length(line) < 5, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1))))
+def places(wide: Column) -> Column:
+    """Where the shingles of a line in UTF-32 begin, from 0; a line of fewer than five characters is one shingle."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(wide) / 4).cast("int") - SIZE))
 
 
-def signature(line: Column, size: int, seed: int) -> Column:
-    """``size`` minima over the shingles that ``shingle_set`` holds."""
-    draw = random.Random(seed)
-    constants = [draw.getrandbits(64) - (1 << 63) for _ in range(size)]
-    hashes = F.transform(shingle_set(line), lambda s: F.xxhash64(s))
-    xor = lambda c: lambda h: h.bitwiseXOR(F.lit(c))
-    return let(hashes, lambda hs: F.array(*[F.array_min(F.transform(hs, xor(c))) for c in constants]))
+def shingle(wide: Column, place: Column) -> Column:
+    """The 64-bit name of the shingle there."""
+    return F.xxhash64(F.substring(wide, place * 4 + 1, F.lit(4 * SIZE)))
+
+
+def shingle_set(line: Column) -> Column:
+    """Names of all distinct five-character shingles; of the line itself where it is shorter."""
+    return let(F.encode(line, "UTF-32"), lambda wide: F.array_distinct(F.transform(places(wide), lambda p: shingle(wide, p))))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, seed: int) -> DataFrame:
-    """row, doc_id, no, occ, h1, h2, b0.. of every line; the last are null for a blank line."""
+def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, no, line, h1, h2 of every line; the last two are null for a blank line."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = texts.select("row", "doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
-    lines = lines.withColumn("line", F.when(F.col("line").rlike(r"\S"), F.col("line")))
-    named = lines.select(
-        "row",
-        "doc_id",
-        "no",
-        F.monotonically_increasing_id().alias("occ"),
-        F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h1"),
-        F.when(F.col("line").isNotNull(), F.xxhash64(F.lit(1), "line")).alias("h2"),
-        F.when(F.col("line").isNotNull(), signature(F.col("line"), bands * rows, seed)).alias("m"),
-    )
-    keys = [F.when(F.col("m").isNotNull(), F.xxhash64(F.lit(i), *[F.get("m", F.lit(i * rows + j)) for j in range(rows)])).alias(f"b{i}") for i in range(bands)]
-    return named.select("row", "doc_id", "no", "occ", "h1", "h2", *keys)
+    filled = F.col("line").rlike(r"\S")
+    return lines.withColumns({"h1": F.when(filled, F.xxhash64("line")), "h2": F.when(filled, F.xxhash64(F.lit(1), "line"))})
+
+
+def banded(lines: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
+    """h1, h2, n (occurrences) and band keys b0.. of the distinct lines that are not blank."""
+    draw = random.Random(seed)
+    constants = [draw.getrandbits(28) for _ in range(bands * rows)]
+    wide = lines.filter("h1 is not null").select("h1", "h2", F.encode("line", "UTF-32").alias("wide"))
+    at = wide.select("h1", "h2", "wide", F.explode(places(F.col("wide"))).alias("at"))
+    long_enough = F.expr(f"octet_length(wide) div 4 >= {ALL}")
+    hashed = at.select("h1", "h2", "at", long_enough.alias("long_enough"), shingle(F.col("wide"), F.col("at")).alias("h"))
+    odd = F.expr("h & 1").cast("int")
+    hashed = hashed.filter((F.col("at") < FIRST) | ~F.col("long_enough") | (odd == 0))
+    order = (F.shiftleft(odd, 28) + F.shiftrightunsigned("h", 36).cast("int")).alias("order")
+    first = hashed.select("h1", "h2", F.when(F.col("at") == 0, 1).otherwise(0).alias("first"), order)
+    signed = first.groupBy("h1", "h2").agg(F.sum("first").alias("n"), *[F.min(F.col("order").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants)])
+    return signed.select("h1", "h2", "n", *[F.xxhash64(F.lit(i), *[f"m{i * rows + j}" for j in range(rows)]).alias(f"b{i}") for i in range(bands)])
+
+
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """node, n (distinct shingles) and their bitmap w0..w15 of rows node, line."""
+    h = lines.select("node", F.explode(shingle_set(F.col("line"))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))")
+    h = h.select("node", bit.alias("bit"), F.expr(f"shiftrightunsigned(h, 50) & {WORDS - 1}").alias("word"))
+    return h.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0)).cast("long").alias(f"w{i}") for i in range(WORDS)])
+
+
+def may_link(num: int, den: int) -> str:
+    """Necessary for Jaccard num/den between sets n, w0.. and other_n, other_w0..: each bit that differs is an element that differs."""
+    differ = " + ".join(f"bit_count(w{i} ^ other_w{i})" for i in range(WORDS))
+    most = f"{den - num} * (n + other_n)"
+    return f"({num + den} * abs(n - other_n) <= {most} AND {num + den} * ({differ}) <= {most})"
 
 
 def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = 9, rows: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, (h1, h2, class) of the lines that occur more than once or are like another)."""
-    every = stored(occurrences(docs, id_col, text_col, bands, rows, seed), "lines")
-    bs = [f"b{i}" for i in range(bands)]
-    distinct = stored(every.filter("h1 is not null").groupBy("h1", "h2", *bs).agg(F.min("occ").alias("line_id"), F.count(F.lit(1)).alias("n")), "distinct")
-    keyed = distinct.select("line_id", F.posexplode(F.array(*bs)).alias("band", "key"))
-    groups = stored(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).filter("m > 1"), "bands")
+    """(row, doc_id, no, occ, h1, h2 of all lines; h1, h2, class of the lines that occur more than once or are like another)."""
+    num, den = round(threshold * 1000), 1000
+    every = stored(split_lines(docs, id_col, text_col).select("row", "doc_id", "no", F.monotonically_increasing_id().alias("occ"), "h1", "h2"), "lines")
+    distinct = stored(banded(split_lines(docs, id_col, text_col), bands, rows, seed).withColumn("node", F.monotonically_increasing_id()), "distinct")
+
+    keyed = distinct.select("node", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("g"))
+    groups = stored(keyed.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "bands")
     # a group of two is its two ends; larger groups get their members from the lines again
-    g = F.xxhash64("band", "key").alias("g")
     twos = groups.filter("m = 2").select("lo", "hi").distinct().select(F.xxhash64("lo", "hi").alias("g"), F.explode(F.array("lo", "hi")).alias("node"))
-    larger = keyed.join(small(stored(groups.filter("m > 2").select("band", "key"), "larger")), ["band", "key"]).select(g, F.col("line_id").alias("node"))
-    members = stored(twos.unionByName(larger).distinct(), "members")
-
-    wanted = stored(members.select(F.col("node").alias("occ")).distinct(), "wanted")
-    places = stored(every.join(small(wanted), "occ").select("occ", "doc_id", "no", "h1", "h2"), "places")
-    holders = stored(places.select("doc_id").distinct(), "holders")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(small(holders), "doc_id", "left_semi")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
-    lines = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    lines = stored(lines.join(small(places), ["doc_id", "no", "h1", "h2"]).select("occ", "line").dropDuplicates(["occ"]).withColumn("size", F.size(shingle_set(F.col("line")))), "texts")
+    larger = stored(groups.filter("m > 2").select("g"), "larger")
+    members = stored(twos.unionByName(keyed.join(small(larger), "g").select("g", "node")).distinct(), "members")
+    discard(groups, larger)
+
+    wanted = stored(distinct.select("h1", "h2", "node").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    texts = split_lines(docs, id_col, text_col).select("h1", "h2", "line").join(small(wanted), ["h1", "h2"])
+    lines = stored(texts.select("node", "line").dropDuplicates(["node"]), "texts")
+    bits = stored(bitmaps(lines), "bitmaps")
+    other = bits.withColumnsRenamed({"node": "b"} | {c: f"other_{c}" for c in bits.columns if c != "node"})
+    limit = may_link(num, den)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        t = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+        enough = lambda both: F.size(F.array_intersect(both["x"], both["y"])) * (num + den) >= num * (F.size(both["x"]) + F.size(both["y"]))
+        return t.filter(let(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")), enough)).select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sized = lines.select("occ", "size")
-        t = pairs.join(sized.withColumnsRenamed({"occ": "a", "size": "na"}), "a").join(sized.withColumnsRenamed({"occ": "b", "size": "nb"}), "b")
-        t = t.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-        t = t.join(lines.select(F.col("occ").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("occ").alias("b"), F.col("line").alias("lb")), "b")
-        common = F.size(F.array_intersect(shingle_set(F.col("la")), shingle_set(F.col("lb"))))
-        return t.filter(common >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
-
-    classes = link_groups(members, verify, star_rounds=4).select(F.col("node").alias("line_id"), "component")
-    repeated = distinct.join(classes, "line_id", "left").filter("n > 1 or component is not null")
-    return every, stored(repeated.select("h1", "h2", F.coalesce("component", "line_id").alias("class")), "classes")
+        t = pairs.join(bits.withColumnRenamed("node", "a"), "a").join(other, "b")
+        return exact(stored(t.filter(limit).select("a", "b"), "pairs"))
+
+    links, labels = star_links(members, verify, rounds=4, linked_first=True)
+    apart = labelled(members, labels).join(bits, "node")
+    found = settled(lambda: exact(stored(spread_pairs(apart, limit).distinct(), "pairs")), "links")
+    component = components(found if links is None else links.unionByName(found))
+    repeated = distinct.select("h1", "h2", "n", "node").join(component, "node", "left").filter("n > 1 or component is not null")
+    return every, stored(repeated.select("h1", "h2", F.coalesce("component", "node").alias("class")), "classes")
 
 
 def line_report(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
