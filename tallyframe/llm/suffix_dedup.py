@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BASE, _BASE_INV, _BYTE, _power, discard, map_arrow, mix64, stored, text_chunks
-from .graph import SMALL_ROWS, small
+from .graph import small
 
 GRAM = 64
 PIECE = 8
@@ -33,7 +33,7 @@ PLACE_BITS = 21
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 NO_ID = -(1 << 63)
 
-ANCHORS = "gram long, sa long, sb long, doc_id long, th int, start long, windows int, lead int"
+ANCHORS = "gram long, sa long, sb long, doc_id long, th binary, start long, windows int, lead int"
 
 
 def doubled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,8 +225,9 @@ def _cut(batches):
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # th tells apart rows of one id that have different texts
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    # th, 128 bits of SHA-256, tells apart rows of one id, or without an id, that have different texts
+    digest = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), digest.alias("th"), text.alias("text"))
 
 
 def _rerank(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -247,8 +248,7 @@ def _rerank(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
 def _with_texts(texts: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
     """doc_id, th, the text's bytes and its requests; of equal rows any one would do."""
     requests = stored(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("asked")), "requests")
-    few = F.broadcast(requests) if asked.count() <= SMALL_ROWS else requests  # a request is a few numbers
-    return texts.join(few, ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
+    return texts.join(small(requests), ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
 
 
 def repeated_runs(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +278,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, id_col: str = "doc_id", te
     inside = settled.unionByName(single).join(alone, "id")
     # a document's intervals are at most as many as its bytes
     pairs = whole.select(*interval).unionByName(inside.select(*interval)).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("pairs"))
-    return map_arrow(pairs, _merge, "doc_id long, th int, runs array<long>")
+    return map_arrow(pairs, _merge, "doc_id long, th binary, runs array<long>")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
