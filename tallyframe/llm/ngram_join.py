@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64, shingles, stored, text_chunks, word_hashes, words
-from .graph import components, small, spread_pairs, star_links, without
+from .common import discard, map_arrow, mix64, settled, shingles, stored, text_chunks, word_hashes, words
+from .graph import components, labelled, small, spread_pairs, star_links, without
 
 RANGES = 64
 
@@ -181,11 +181,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     shared = spark.sparkContext.broadcast(table.ravel())
 
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copied = classes.filter("rep <> last").select("n", "s1", "s2", "rep")
-    copies = stored(sets.join(copied, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    copied = stored(classes.filter("rep <> last").select("n", "s1", "s2", "rep"), "copied")
+    copies = stored(sets.join(small(copied), ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
 
-    singles = texts.filter("doc_id is not null").join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
+    gone = stored(copies.select("doc_id").distinct(), "gone")
+    singles = texts.filter("doc_id is not null").join(small(gone), "doc_id", "left_anti")
     postings = stored(map_arrow(singles, _prefixes(shared, k, num, den, bits, most_matches), "token long, node long, l byte, n long, last long"), "postings")
+    shared.unpersist()
     groups = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "groups")
     twos = groups.filter("m = 2").groupBy(F.col("lo").alias("a"), F.col("hi").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     larger = stored(groups.filter("m > 2").select("token", "m"), "larger")
@@ -196,7 +198,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
     # lone: shingles of the prefix that no other document's prefix has; big: those of large groups
     sizes = postings.select("token", "node", "n", "last").distinct().groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last"), F.count(F.lit(1)).alias("p"))
     nodes = stored(sizes.join(met, "node").select("node", "n", "last", "p", (F.col("p") - F.col("met")).alias("lone"), "big"), "nodes")
-    members = stored(members.join(nodes, "node"), "members")
+    bare, members = members, stored(members.join(nodes, "node"), "members")
+    discard(bare, postings, larger)
     # up to where the first of two prefixes ends, what one lacks the other lacks for certain; last: where it ends, to 64 bits
     first = lambda x: f"CASE WHEN last < other_last THEN {x.replace('?', '')} WHEN last > other_last THEN {x.replace('?', 'other_')} ELSE greatest({x.replace('?', '')}, {x.replace('?', 'other_')}) END"
     alike = f"{den} * least(n, other_n) >= {num} * greatest(n, other_n) AND {num + den} * ({first('?n - ?lone')}) >= {num} * (n + other_n)"
@@ -216,21 +219,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
         return verify(t.filter(F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same)) >= round(16 * (threshold - 0.15))).select("a", "b"))
 
     sized = members.select(F.xxhash64("token", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold))).alias("g"), "node", F.col("lone").alias("rank")) if threshold < 1 else members.select(F.col("token").alias("g"), "node", F.col("lone").alias("rank"))
-    links, _ = star_links(sized, verify_likely, rounds=3, more_than=star_size)
-    labels = components(links).select("node", F.col("component").alias("c")) if links is not None else copies.limit(0).select(F.col("doc_id").alias("node"), F.col("rep").alias("c"))
-    labels = stored(labels, "labels")
-    labelled = stored(members.join(labels, "node", "left").select(F.col("token").alias("g"), "m", "node", F.coalesce("c", "node").alias("c"), "n", "p", "lone", "big", "last"), "labelled")
+    links, labels = star_links(sized, verify_likely, rounds=3, more_than=star_size)
+    apart = labelled(members.withColumn("g", F.col("token")), labels).select("g", "m", "node", "c", "n", "p", "lone", "big", "last")
+    apart = stored(apart, "labelled")
+    labels = labels if labels is not None else copies.limit(0).select(F.col("doc_id").alias("node"), F.col("rep").alias("c"))
     far = twos.join(labels.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(labels.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
     far = far.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "shared")
     # pairs come from groups of up to rare_size, and from larger ones if they need no shingle of those
-    in_small = far.unionByName(spread_pairs(labelled.filter(F.col("m") <= rare_size), alike).withColumn("shared", one)).withColumn("in_big", F.lit(0).cast("long"))
-    in_big = spread_pairs(labelled.filter(F.col("m") > rare_size), alike_big).select("a", "b", F.lit(0).cast("long").alias("shared"), one.alias("in_big"))
+    in_small = far.unionByName(spread_pairs(apart.filter(F.col("m") <= rare_size), alike).withColumn("shared", one)).withColumn("in_big", F.lit(0).cast("long"))
+    in_big = spread_pairs(apart.filter(F.col("m") > rare_size), alike_big).select("a", "b", F.lit(0).cast("long").alias("shared"), one.alias("in_big"))
     counted = in_small.unionByName(in_big).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("in_big").alias("in_big"))
     known = ["n", "p", "lone", "big", "last"]
     counted = counted.join(nodes.withColumnsRenamed({"node": "a"}), "a").join(nodes.withColumnsRenamed({"node": "b"} | {x: f"other_{x}" for x in known}), "b")
     # the overlap that this pair needs, less what the prefix that ends first leaves open
     needed = f"greatest(1, ceil({num} * (n + other_n) / {num + den}) - ({first('?n - ?p')}))"
-    found = verify(counted.filter(f"{alike} AND shared + CASE WHEN in_big > 0 THEN in_big ELSE least(big, other_big) END >= {needed}").select("a", "b"))
+    likely = counted.filter(f"{alike} AND shared + CASE WHEN in_big > 0 THEN in_big ELSE least(big, other_big) END >= {needed}").select("a", "b")
+    found = settled(lambda: verify(likely), "links")
     every = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(found)
     if links is not None:
         every = every.unionByName(links)
@@ -240,6 +244,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: float = 0.9, id_c
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
-    gone = jaccard_components(docs, k, threshold, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
-    return without(docs, gone, id_col)
+    """The rows of ``docs`` whose id is their component's smallest, with all their columns.
+
+    Of rows that share id and text one stays, unless the text has no words; another
+    text under that id stays too. Rows without an id stay.
+    """
+    report = settled(lambda: jaccard_components(docs, k, threshold, id_col, text_col), "report")
+    gone = report.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
+    rest = without(docs, gone, id_col)
+    repeated = report.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    repeated = stored(repeated.select(F.col("doc_id").alias(id_col)), "repeated")
+    if repeated.isEmpty():
+        return rest
+    few = small(repeated)
+    once = rest.join(few, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return rest.join(few, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
