@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import stored
 from .graph import small
 
-#: At least 384 characters, then on to the next "e " or "a "; 4096 where there is none.
-CHUNK = r"(?s).{384,4096}?(?<=[ea] )|.{1,4096}"
+#: At least 384 characters, then on to the next "e " or "a ", or a mark that texts without spaces have (base64, hex,
+#: East Asian punctuation and syllables); 4096 where there is none.
+CHUNK = r"(?s).{384,4096}?(?<=[ea] |[+/\u3001\u3002\uFF0C\u306E\u7684]|00|ff)|.{1,4096}"
 
 
 def normalised(text: Column) -> Column:
@@ -66,11 +67,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min(F.struct("doc_id", "row")).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    return keyed.join(groups, ["key", "exact"]).select(
+    groups = stored(groups.filter("group_size > 1").select("key", "exact", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "groups")
+    alone = F.col("group_size").isNull()
+    return keyed.join(small(groups), ["key", "exact"], "left").select(
         "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("first.row")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
     )
 
