@@ -114,6 +114,8 @@ def mix(
         F.expr("target % supply").alias("rest"),
         F.greatest(F.lit(1), F.expr(f"n div {rows_per_bucket}")).alias("buckets"),
     )
+    # a row a leaf: broadcast, so that the rows are dealt by leaf and bucket together and a large leaf is split
+    chosen = small(stored(chosen, "chosen"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
     dealt = (
         rows.join(chosen, levels)
@@ -124,7 +126,7 @@ def mix(
     earlier = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*levels, "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start"))
     within = Window.partitionBy(*levels, "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("upto", F.sum("tokens").over(within)).join(starts, [*levels, "bucket"])
+    placed = dealt.withColumn("upto", F.sum("tokens").over(within)).join(small(stored(starts, "starts")), [*levels, "bucket"])
     copies = F.col("whole") + F.when(F.col("start") + F.col("upto") <= F.col("rest"), 1).otherwise(0)
     return (
         placed.withColumn("copies", copies.cast("int"))
@@ -149,9 +151,15 @@ def registered_mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the registered mix takes, each once, with all their columns; ids are taken to be unique."""
+    """The rows of ``docs`` that the registered mix takes, each once, with all their columns.
+
+    Rows that share an id, or have none, are taken together if the mix takes one of
+    them. Documents without words are not taken.
+    """
     chosen = mix(docs, source_domain(F.col("source")), WEIGHTS, budget_percent, max_epochs=1, id_col=id_col)
-    return docs.join(small(stored(chosen.select(F.col("doc_id").alias(id_col)).distinct(), "chosen")), id_col, "left_semi").select(*docs.columns)
+    taken = stored(chosen.select(F.col("doc_id").alias("__id")).distinct(), "chosen")
+    worded = docs.filter(F.col("text").rlike(WORD))
+    return worded.join(small(taken), worded[id_col].eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
 
 
 def _level_sql(depth: int, table: str, above: str | None) -> str:
