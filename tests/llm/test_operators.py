@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import exact_dedup, line_dedup, media, mixing, ngram_join, packing, quality, secrets, suffix_dedup, toxicity
 from tallyframe.llm.common import shingles, stored, word_hashes, words
-from tallyframe.llm.graph import components, link_groups
+from tallyframe.llm.graph import components, counted_bytes, labelled, small, spread_pairs, star_links
 
 from ..conftest import SF, rows
 
@@ -107,12 +107,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_link_groups_loses_no_link(spark):
+def test_star_rounds_and_spread_pairs_lose_no_link(spark):
     members = stored(spark.createDataFrame([(g, n) for g in range(3) for n in range(g, 40)], "g long, node long"), "m")
-    found = dict(rows(link_groups(members, lambda pairs: pairs.filter("b - a = 7"))))
+    verify = lambda pairs: pairs.filter("b - a = 7")
+    links, labels = star_links(members, verify, rounds=2, linked_first=True)
+    assert all((c - n) % 7 == 0 for n, c in rows(labels))
+    found = dict(rows(components(links.unionByName(verify(spread_pairs(labelled(members, labels)).distinct())))))
     assert {found[n] for n in range(40) if n % 7 == 3} == {3}
 
 
+def test_broadcasts_are_bounded_by_bytes(spark):
+    wide = spark.createDataFrame([(1, [1] * 100, "x" * 1000), (2, None, None)], "id long, a array<long>, t string")
+    assert 1800 < counted_bytes(wide) < 2200
+    assert "broadcast" in small(wide)._jdf.queryExecution().toString() and "broadcast" not in small(wide, 1000)._jdf.queryExecution().toString()
+    assert counted_bytes(wide.limit(0)) == 0
+
+
 # --- 1 ---------------------------------------------------------------------------------
 
 
@@ -349,6 +359,42 @@ def test_toxicity(spark, docs, odd, labels):
     assert held.count() > 0
 
 
+def test_toxicity_categories_are_label_columns(spark):
+    r = np.random.default_rng(2)
+    text = lambda marks: " ".join([*(f"w{x}" for x in r.integers(0, 80, 20)), *marks])
+    cases = []
+    for i in range(400):
+        kind = i % 4  # none, rude, threat, both
+        marks = (["grum"] if kind in (1, 3) else []) + (["zorp"] if kind in (2, 3) else [])
+        cases.append((i, text(marks), int(kind in (1, 3)), int(kind in (2, 3)), int(kind > 0)))
+    df = spark.createDataFrame(cases, "doc_id long, text string, rude int, threat int, toxic int")
+    labels = df.filter("doc_id < 300").select("doc_id", "rude", "threat", "toxic")
+    for chain in (toxicity.train(df, labels, ["rude", "threat", "toxic"]), toxicity.train(df, labels)):
+        assert len(chain.categories) == 3
+        scored = toxicity.score(df, chain).join(df.filter("doc_id >= 300"), "doc_id").collect()
+        assert np.mean([(x["p_toxic"] >= 0.5) == (x["toxic"] == 1) for x in scored]) > 0.97
+        if "rude" in chain.categories:
+            assert np.mean([(x["p_rude"] >= 0.5) == (x["rude"] == 1) for x in scored]) > 0.97
+            assert np.mean([(x["p_threat"] >= 0.5) == (x["threat"] == 1) for x in scored]) > 0.97
+
+
+def test_found_kinds_are_clusters():
+    features = [np.array(sorted({1, 2, 90 + i % 5})) for i in range(40)] + [np.array(sorted({3, 4, 90 + i % 5})) for i in range(40)] + [np.array([50 + i % 9, 90 + i % 5]) for i in range(80)]
+    y = np.array([1.0] * 80 + [0.0] * 80)
+    kinds = toxicity.found_kinds(features, y, 2)
+    assert kinds[80:].sum() == 0 and (kinds[:80].sum(1) == 1).all()
+    assert len({tuple(x) for x in kinds[:40]}) == 1 and len({tuple(x) for x in kinds[40:80]}) == 1 and not (kinds[0] == kinds[40]).all()
+    assert toxicity.found_kinds(features, np.zeros(160), 2).sum() == 0
+
+
+def test_drop_toxic_tells_rows_apart(spark, docs, labels):
+    bad = docs.join(labels.filter("toxic = 1"), "doc_id").select("text").first()["text"]
+    cases = [(1, bad), (1, "a quiet text"), (None, bad), (None, "another one"), (2, None), (3, ""), (4, bad), (4, bad)]
+    toxic = toxicity.drop_toxic(spark.createDataFrame(cases, "doc_id long, text string").unionByName(docs.select("doc_id", "text")), labels)
+    left = [(i, t) for i, t in rows(toxic) if (i, t) in cases]
+    assert sorted(map(str, left)) == sorted(map(str, [c for c in cases if c[1] != bad]))
+
+
 def test_chain_learns_from_earlier_categories():
     r = np.random.default_rng(0)
     features = [np.unique(r.integers(0, 50, 10)) for _ in range(300)]
@@ -380,10 +426,11 @@ def test_shortages_stay_among_siblings(spark):
 
 
 def test_quality(spark, odd):
-    d = "/root/testdata/sf0.01"
+    # summed over a text's n-grams, weights need the target texts of 10,000 documents to be right about languages
+    d = "/root/testdata/sf0.1"
     big, all_labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     found = quality.resample(big, all_labels.filter("quality = 1 AND doc_id % 2 = 0").select("doc_id"))
-    assert found.filter("kept").count() == 850
+    assert found.filter("kept").count() == 8500
     held = found.join(all_labels.filter("doc_id % 2 = 1"), "doc_id").collect()
     good, bad = [r for r in held if r["quality"] == 1], [r for r in held if r["quality"] == 0]
     assert np.mean([r["kept"] for r in good]) > 0.95 > 0.4 > np.mean([r["kept"] for r in bad])
@@ -391,12 +438,47 @@ def test_quality(spark, odd):
     assert quality.resample(odd.limit(0), all_labels.select("doc_id")).count() == 0
 
 
+def test_importance_weights_by_brute_force(spark, docs):
+    target = docs.filter("doc_id % 5 = 0").select("doc_id")
+    found = quality.resample(docs, target, keep_percent=50, buckets=997)
+    grams = {}
+    for i, t in texts(docs):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        grams[i] = w + [" ".join(p) for p in zip(w, w[1:])]
+    # buckets by the operator's own names, counts and sums by hand
+    names = {}
+    for i, t in texts(docs):
+        data = np.frombuffer(t.encode(), np.uint8)
+        names[i] = quality._grams(data, np.array([0, len(data)]), 997)[1].tolist()
+        assert len(names[i]) == len(grams[i])
+    raw, aim = Counter(b for x in names.values() for b in x), Counter(b for i, x in names.items() if i % 5 == 0 for b in x)
+    log = lambda c, b: np.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * 997))
+    ratio = [log(aim, b) - log(raw, b) for b in range(997)]
+    got = found.collect()
+    assert len(got) == len(names)
+    for r in got:
+        want = sum(ratio[b] for b in names[r["doc_id"]]) if names[r["doc_id"]] else min(ratio)
+        assert abs(r["log_weight"] - want) < 1e-6 * max(1, abs(want))
+    top = sorted(got, key=lambda r: (-r["sampling_key"], r["doc_id"]))[: len(got) // 2]
+    assert {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in top}
+
+
+def test_gumbel_top_one_draws_by_weight(spark):
+    w = np.array([1.0, 2.0, 5.0])
+    t = spark.range(3000).selectExpr("id", "id div 3 AS draw", "CAST(id % 3 AS INT) AS item").withColumn("g", quality.gumbel(3, "id"))
+    best = t.withColumn("key", F.element_at(F.array(*[F.lit(float(np.log(x))) for x in w]), F.col("item") + 1) + F.col("g")).groupBy("draw").agg(F.max_by("item", "key").alias("item"))
+    share = np.array([n for _, n in sorted(rows(best.groupBy("item").count()))]) / 1000
+    assert np.abs(share - w / w.sum()).max() < 0.05
+
+
 @pytest.mark.parametrize("k", [0, 1, 137, 500, 1000])
 def test_largest(spark, k):
-    df = stored(spark.range(1000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 5D ELSE sin(id) END v"), "v")
-    found = {r["id"] for r in quality.mark_largest(df, "v", k, "id", at_most=10, ranges=4).filter("kept").collect()}
+    df = stored(spark.range(1000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 5D ELSE sin(id) END v", "-id AS low"), "v")
+    found = {r["id"] for r in quality.mark_largest(df, ["v", "low"], k, at_most=10, ranges=4).filter("kept").collect()}
     values = sorted(((-r["v"], r["id"]) for r in df.collect()))
     assert found == {i for _, i in values[:k]}
+    equal = stored(spark.range(300).selectExpr("id", "1D AS v"), "v")
+    assert quality.mark_largest(equal, ["v"], min(k, 300), at_most=10, ranges=4).filter("kept").count() == min(k, 300)
 
 
 # --- 10 --------------------------------------------------------------------------------
