@@ -91,15 +91,18 @@ def nearer(labels: DataFrame | None, links: DataFrame, hops: int = 2) -> DataFra
     return labels
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, more_than: int = 1, linked_first: bool = False, seed: int = 5) -> tuple[DataFrame | None, DataFrame | None]:
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, more_than: int = 1, linked_first: bool = False, alike: str = "true", seed: int = 5) -> tuple[DataFrame | None, DataFrame | None]:
     """(links found, labels node, c): in groups of more than ``more_than`` nodes each round holds every node against one leader.
 
     ``members`` is a stored table of (g, node) and perhaps a ``rank``. Nodes with the
     leader's label are not held against it again. The leader is the node of the
     lowest ``rank``, at first of all and then of those without a link - or with one,
     so that the nodes left over are held against one linked node after another.
+    ``alike`` is a condition on further columns x of ``members`` and on the leader's,
+    other_x, that a pair must meet to be verified.
     """
     links = labels = None
+    traits = [x for x in members.columns if x not in ("g", "node", "rank")]
     members = members if "rank" in members.columns else members.withColumn("rank", F.lit(0).cast("long"))
     for r in range(rounds):
         known = members.withColumn("c", F.col("node")) if labels is None else members.join(small(labels), "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -107,10 +110,10 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
         turn = F.lit(False) if r == 0 else ~linked if linked_first else linked
         # the first leader is the same in all groups that two nodes share
         order = F.struct(turn.alias("turn"), "rank", F.xxhash64(F.lit(seed + r), "node").alias("h"))
-        leaders = known.groupBy("g").agg(F.min_by(F.struct("node", "c"), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
-        leaders = leaders.filter(f"c0 <> c1 and m > {more_than}").select("g", F.col("lead.node").alias("leader"), F.col("lead.c").alias("leader_c"))
+        leaders = known.groupBy("g").agg(F.min_by(F.struct("node", "c", *traits), order).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"))
+        leaders = leaders.filter(f"c0 <> c1 and m > {more_than}").select("g", F.col("lead.node").alias("leader"), F.col("lead.c").alias("leader_c"), *[F.col(f"lead.{x}").alias(f"other_{x}") for x in traits])
         leaders = stored(leaders, "leaders")
-        pairs = known.join(small(leaders), "g").filter("c <> leader_c").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        pairs = known.join(small(leaders), "g").filter(f"c <> leader_c AND {alike}").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         found = settled(lambda: verify(pairs), "links")  # noqa: B023
         discard(leaders)
         if found.isEmpty():

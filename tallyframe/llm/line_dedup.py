@@ -21,6 +21,7 @@ from .common import discard, settled, stored
 from .graph import components, labelled, small, spread_pairs, star_links
 
 BREAK = r"\r?\n"
+BLANKS = " \t\n\x0b\f\r"
 SIZE = 5
 #: Of a line of ``ALL`` characters or more the minima are taken over the shingles of even hash, and the ``FIRST`` ones.
 ALL, FIRST = 64, 32
@@ -50,15 +51,30 @@ def shingle_set(line: Column) -> Column:
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, no, line, h1, h2 of every line; the last two are null for a blank line."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = texts.select("row", "doc_id", F.posexplode(F.split("text", BREAK)).alias("no", "line"))
-    filled = F.col("line").rlike(r"\S")
+    # as BREAK would split, without a regular expression
+    plain = F.when(F.contains("text", F.lit("\r\n")), F.replace("text", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+    lines = texts.select("row", "doc_id", F.posexplode(F.split(plain, "\n")).alias("no", "line"))
+    filled = F.length(F.ltrim("line", F.lit(BLANKS))) > 0
     return lines.withColumns({"h1": F.when(filled, F.xxhash64("line")), "h2": F.when(filled, F.xxhash64(F.lit(1), "line"))})
 
 
-def banded(lines: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
+def dealt_bands(pool: int, bands: int, rows: int, seed: int) -> list[list[int]]:
+    """Which minima each band holds: ``rows`` different ones, each of the pool about as often."""
+    draw, left, out = random.Random(seed), [], []
+    for _ in range(bands):
+        if len(left) < rows:
+            left += draw.sample(range(pool), pool)
+        band = list(dict.fromkeys(left))[:rows]
+        for i in band:
+            left.remove(i)
+        out.append(sorted(band))
+    return out
+
+
+def banded(lines: DataFrame, pool: int, bands: int, rows: int, seed: int) -> DataFrame:
     """h1, h2, n (occurrences) and band keys b0.. of the distinct lines that are not blank."""
     draw = random.Random(seed)
-    constants = [draw.getrandbits(28) for _ in range(bands * rows)]
+    constants = [draw.getrandbits(28) for _ in range(pool)]
     wide = lines.filter("h1 is not null").select("h1", "h2", F.encode("line", "UTF-32").alias("wide"))
     at = wide.select("h1", "h2", "wide", F.explode(places(F.col("wide"))).alias("at"))
     long_enough = F.expr(f"octet_length(wide) div 4 >= {ALL}")
@@ -68,29 +84,29 @@ def banded(lines: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
     order = (F.shiftleft(odd, 28) + F.shiftrightunsigned("h", 36).cast("int")).alias("order")
     first = hashed.select("h1", "h2", F.when(F.col("at") == 0, 1).otherwise(0).alias("first"), order)
     signed = first.groupBy("h1", "h2").agg(F.sum("first").alias("n"), *[F.min(F.col("order").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants)])
-    return signed.select("h1", "h2", "n", *[F.xxhash64(F.lit(i), *[f"m{i * rows + j}" for j in range(rows)]).alias(f"b{i}") for i in range(bands)])
+    return signed.select("h1", "h2", "n", *[F.xxhash64(F.lit(i), *[f"m{j}" for j in band]).alias(f"b{i}") for i, band in enumerate(dealt_bands(pool, bands, rows, seed))])
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """node, n (distinct shingles) and their bitmap w0..w15 of rows node, line."""
-    h = lines.select("node", F.explode(shingle_set(F.col("line"))).alias("h"))
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))")
-    h = h.select("node", bit.alias("bit"), F.expr(f"shiftrightunsigned(h, 50) & {WORDS - 1}").alias("word"))
-    return h.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0)).cast("long").alias(f"w{i}") for i in range(WORDS)])
+    """node, n (shingles with repeats) and the bitmap w0..w15 of the shingles, of rows node, line."""
+    at = lines.select("node", F.encode("line", "UTF-32").alias("wide")).select("node", "wide", F.explode(places(F.col("wide"))).alias("at"))
+    h = at.select("node", shingle(F.col("wide"), F.col("at")).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    h = h.select("node", bit.alias("bit"), F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("word"))
+    return h.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
 
 
 def may_link(num: int, den: int) -> str:
-    """Necessary for Jaccard num/den between sets n, w0.. and other_n, other_w0..: each bit that differs is an element that differs."""
+    """Necessary for Jaccard num/den between lines n, w0.. and other_n, other_w0..: each bit that differs is a shingle that differs."""
     differ = " + ".join(f"bit_count(w{i} ^ other_w{i})" for i in range(WORDS))
-    most = f"{den - num} * (n + other_n)"
-    return f"({num + den} * abs(n - other_n) <= {most} AND {num + den} * ({differ}) <= {most})"
+    return f"{num + den} * ({differ}) <= {den - num} * (n + other_n)"
 
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = 9, rows: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pool: int = 27, bands: int = 12, rows: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, no, occ, h1, h2 of all lines; h1, h2, class of the lines that occur more than once or are like another)."""
     num, den = round(threshold * 1000), 1000
     every = stored(split_lines(docs, id_col, text_col).select("row", "doc_id", "no", F.monotonically_increasing_id().alias("occ"), "h1", "h2"), "lines")
-    distinct = stored(banded(split_lines(docs, id_col, text_col), bands, rows, seed).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    distinct = stored(banded(split_lines(docs, id_col, text_col), pool, bands, rows, seed).withColumn("node", F.monotonically_increasing_id()), "distinct")
 
     keyed = distinct.select("node", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("g"))
     groups = stored(keyed.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "bands")
@@ -104,7 +120,8 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     texts = split_lines(docs, id_col, text_col).select("h1", "h2", "line").join(small(wanted), ["h1", "h2"])
     lines = stored(texts.select("node", "line").dropDuplicates(["node"]), "texts")
     bits = stored(bitmaps(lines), "bitmaps")
-    other = bits.withColumnsRenamed({"node": "b"} | {c: f"other_{c}" for c in bits.columns if c != "node"})
+    bare, members = members, stored(members.join(bits, "node"), "members")
+    discard(bare, bits, wanted)
     limit = may_link(num, den)
 
     def exact(pairs: DataFrame) -> DataFrame:
@@ -112,12 +129,8 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
         enough = lambda both: F.size(F.array_intersect(both["x"], both["y"])) * (num + den) >= num * (F.size(both["x"]) + F.size(both["y"]))
         return t.filter(let(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")), enough)).select("a", "b")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        t = pairs.join(bits.withColumnRenamed("node", "a"), "a").join(other, "b")
-        return exact(stored(t.filter(limit).select("a", "b"), "pairs"))
-
-    links, labels = star_links(members, verify, rounds=4, linked_first=True)
-    apart = labelled(members, labels).join(bits, "node")
+    links, labels = star_links(members, exact, rounds=4, linked_first=True, alike=limit)
+    apart = labelled(members, labels)
     found = settled(lambda: exact(stored(spread_pairs(apart, limit).distinct(), "pairs")), "links")
     component = components(found if links is None else links.unionByName(found))
     repeated = distinct.select("h1", "h2", "n", "node").join(component, "node", "left").filter("n > 1 or component is not null")
