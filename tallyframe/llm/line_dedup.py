@@ -28,6 +28,8 @@ ALL, FIRST = 64, 32
 WORDS = 16
 #: A candidate pair agrees in so many of the 27 minima: at Jaccard 0.8 fewer do with probability 0.0003.
 LANE, LANES, LEAST = 7, 9, 14
+#: Groups of at most so many lines are paired at once; larger ones by leaders first.
+FEW = 8
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -135,13 +137,19 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     signs = [f"s{i}" for i in range(-(-pool // LANES))]
     keyed = distinct.select("node", *signs, F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("g"))
     groups = stored(keyed.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "bands")
-    # a group of two is its two ends; larger groups get their members from the lines again
+    # a group of two is its two ends, groups of a few are their pairs; larger ones get their members from the lines again
+    other = [F.col(x).alias(f"other_{x}") for x in signs]
     twos = groups.filter("m = 2").select("lo", "hi").distinct().join(distinct.select(F.col("node").alias("lo"), *signs), "lo")
-    twos = twos.join(distinct.select(F.col("node").alias("hi"), *[F.col(x).alias(f"other_{x}") for x in signs]), "hi").filter(agree(pool, LEAST))
+    twos = twos.join(distinct.select(F.col("node").alias("hi"), *other), "hi").filter(agree(pool, LEAST))
+    larger = stored(groups.filter("m > 2").select("g", "m"), "larger")
+    named = stored(keyed.join(small(larger), "g").select("g", "m", "node", *signs), "named")
+    few = named.filter(f"m <= {FEW}")
+    few = few.select("g", F.col("node").alias("lo"), *signs).join(few.select("g", F.col("node").alias("hi"), *other), "g").filter(f"lo < hi AND {agree(pool, LEAST)}")
+    pairs = twos.select("lo", "hi", *signs, *[f"other_{x}" for x in signs]).unionByName(few.drop("g")).distinct()
     ends = F.array(F.struct(F.col("lo").alias("node"), *signs), F.struct(F.col("hi").alias("node"), *[F.col(f"other_{x}").alias(x) for x in signs]))
-    twos = twos.select(F.xxhash64("lo", "hi").alias("g"), F.explode(ends).alias("x")).select("g", "x.*")
-    larger = stored(groups.filter("m > 2").select("g"), "larger")
-    members = stored(twos.unionByName(keyed.join(small(larger), "g").select("g", "node", *signs)), "members")
+    ends = pairs.select(F.xxhash64("lo", "hi").alias("g"), F.explode(ends).alias("x")).select("g", "x.*")
+    members = stored(ends.unionByName(named.filter(f"m > {FEW}").select("g", "node", *signs)), "members")
+    discard(named)
     discard(groups, larger)
 
     nodes = stored(members.select("node").distinct(), "nodes")
