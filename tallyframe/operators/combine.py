@@ -82,10 +82,10 @@ def _rule(columns: list[str], field: str, rule: Any, inputs: Sequence[str], stri
     strategy = rule.get("strategy", "first_non_null")
     at = lambda name: field if name == inputs[0] else f"{field}__{list(inputs).index(name)}"
     if strategy == "first_non_null":
-        order = rule.get("priority") or inputs
+        order = rule.get("priority") or (inputs if strict else [])
         if strict:
             picked = [at(n) for n in order if n in inputs and at(n) in columns]
-        else:  # the base column first, then the listed inputs' in the order of the inputs
+        else:  # the base column first, then the listed inputs' in the order of the inputs; none listed: the base column
             picked = [field] * (field in columns) + [at(n) for n in inputs if n in order and at(n) != field and at(n) in columns]
         return F.coalesce(*[named(c) for c in dict.fromkeys(picked or versions)])
     if strategy == "prefer_source":
@@ -127,7 +127,7 @@ def diff(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    side: str = "symmetric_diff",
+    side: str = "left_only",
     columns_left: Sequence[str] | None = None,
     columns_right: Sequence[str] | None = None,
     project: str | None = None,
@@ -137,8 +137,9 @@ def diff(
     """Rows by where their key is: left_only, right_only, symmetric_diff or both.
 
     ``project``: keys; left or right - of that side the columns the other has too
-    (all of them with ``project_all``), by their own names; both - the columns of
-    both, those that both have with _left and _right, and _merge.
+    (all of them with ``project_all``), by their own names; both - the columns that
+    both have with _left and then _right (with ``project_all`` those of one side too,
+    by their own names), and _merge.
     """
     on = as_list(on)
     need(on, left, "left")
@@ -163,4 +164,7 @@ def diff(
         own, suffix = (a, "_left") if project == "left" else (b, "_right")
         rest = [c for c in own.columns if c not in on and (c in shared or project_all)]
         return rows.select(*keys, *[named(f"{c}{suffix}" if c in shared else c).alias(c) for c in rest], *extra)
-    return rows.select(*keys, *[named(c) for c in rows.columns if c not in (*on, "__in_a", "__in_b")], *extra, where.alias("_merge"))
+    rest = [c for c in rows.columns if c not in (*on, "__in_a", "__in_b")]
+    if not project_all:
+        rest = [c for end in ("_left", "_right") for c in rest if c.endswith(end)]
+    return rows.select(*keys, *[named(c) for c in rest], *extra, where.alias("_merge"))

@@ -21,22 +21,24 @@ def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return with_order(df).withColumn("__row__", F.row_number().over(place) - 1)
 
 
-def _differs(a: Column, a_kind: str, b: Column, b_kind: str) -> Column:
-    """Numbers by six decimals, dates with null as a value, the rest as text; null against a value is no change."""
+def _differs(a: Column, a_kind: str, b: Column, b_kind: str, precision: int) -> Column:
+    """Numbers by so many decimals, dates with null as a value, the rest as text; null against a value is no change."""
     if a_kind == b_kind == DATE:
         return ~a.cast("timestamp_ntz").eqNullSafe(b.cast("timestamp_ntz"))
     x, y = (to_number(c, k) if k != BOOLEAN else c.cast("double") for c, k in ((a, a_kind), (b, b_kind)))
-    numeric = F.rint(x * 1e6) != F.rint(y * 1e6)
+    scale = float(10**precision)
+    numeric = F.rint(x * scale) != F.rint(y * scale)
     if STRING not in (a_kind, b_kind) and DATE not in (a_kind, b_kind):
         return F.coalesce(numeric, F.lit(False))
     return F.coalesce(F.when(x.isNotNull() & y.isNotNull(), numeric).otherwise(text(a, a_kind) != text(b, b_kind)), F.lit(False))
 
 
-def compare(baseline: DataFrame, current: DataFrame, key: Sequence[str] | str, columns: Sequence[str] | None = None, id_label: str = "Baseline", new_label: str = "Current", null_changes: bool = False) -> DataFrame:
+def compare(baseline: DataFrame, current: DataFrame, key: Sequence[str] | str, columns: Sequence[str] | None = None, id_label: str = "Baseline", new_label: str = "Current", null_changes: bool = False, precision: int = 6, show_delta: bool = True) -> DataFrame:
     """Keys, status, changed columns, and of each compared column before, after and delta.
 
     Rows of the same key pair off in order. The delta is new less old, for numbers.
-    ``null_changes`` also reports a value that comes or goes.
+    ``null_changes`` also reports a value that comes or goes. Numbers are equal if they
+    are to ``precision`` decimals; without ``show_delta`` there are no deltas.
     """
     keys = as_list(key)
     for df in (baseline, current):
@@ -56,10 +58,10 @@ def compare(baseline: DataFrame, current: DataFrame, key: Sequence[str] | str, c
         old = named(f"__a_{c}") if c in a_kinds else F.lit(None).cast("string")
         new = named(f"__b_{c}") if c in b_kinds else F.lit(None).cast("string")
         a_kind, b_kind = a_kinds.get(c, b_kinds.get(c, STRING)), b_kinds.get(c, a_kinds.get(c, STRING))
-        differs = _differs(old, a_kind, new, b_kind)
+        differs = _differs(old, a_kind, new, b_kind, precision)
         changes[c] = differs | (old.isNull() != new.isNull()) if null_changes else differs
         delta = F.lit(None).cast("double") if {a_kind, b_kind} & {DATE, BOOLEAN} else to_number(new, b_kind) - to_number(old, a_kind)
-        shown += [old.alias(f"{c} ({id_label})"), new.alias(f"{c} ({new_label})"), delta.alias(f"{c} Δ")]
+        shown += [old.alias(f"{c} ({id_label})"), new.alias(f"{c} ({new_label})"), *[delta.alias(f"{c} Δ")] * show_delta]
     named_changes = F.array_compact(F.array(*[F.when(in_a & in_b & d, F.lit(c)) for c, d in changes.items()])) if changes else F.array().cast("array<string>")
     status = F.when(~in_a, "added").when(~in_b, "removed").when(F.size(CHANGED) > 0, "changed").otherwise("unchanged")
     key_columns = [F.when(in_a, named(k)).otherwise(F.col(f"__k{i}")).alias(k) for i, k in enumerate(keys)]
@@ -86,5 +88,5 @@ def by_column(report: DataFrame, keys: Sequence[str], columns: Sequence[str], id
         while title in out:
             title = f"{f'Changed — {c}'[:28]}~{n}"
             n += 1
-        out[title] = rows.select(*[named(k) for k in as_list(keys)], STATUS, *[named(x) for x in (f"{c} ({id_label})", f"{c} ({new_label})", f"{c} Δ")])
+        out[title] = rows.select(*[named(k) for k in as_list(keys)], STATUS, *[named(x) for x in (f"{c} ({id_label})", f"{c} ({new_label})", f"{c} Δ") if x in report.columns])
     return out

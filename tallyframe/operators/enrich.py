@@ -164,13 +164,17 @@ def lookup(
 
 
 def enrich(df: DataFrame, steps: list[dict], frames: dict[str, DataFrame]) -> DataFrame:
-    """Enrich steps in order: lookups in ``frames``, or plug-ins; an error names its step."""
+    """Enrich steps in order: lookups in ``frames``, or plug-ins by ``fn``; an error names its step."""
     from ..functions.registry import plugins
 
     for i, step in enumerate(steps or []):
         try:
-            if "plugin" in step or step.get("op") in plugins("enrich"):
-                df = plugins("enrich")[step.get("plugin", step.get("op"))](df, step.get("params", {}), frames=frames)
+            if not {"from", "left_on", "right_on"} <= step.keys():
+                if "fn" not in step:
+                    raise ValueError(f"neither a lookup (from, left_on, right_on) nor a plug-in (fn): {step}")
+                if step["fn"] not in plugins("enrich"):
+                    raise ValueError(f"no plug-in {step['fn']}")
+                df = plugins("enrich")[step["fn"]](df, step.get("params", {}), frames=frames)
                 continue
             if step["from"] not in frames:
                 raise ValueError(f"no table {step['from']}")

@@ -55,7 +55,7 @@ def sheet_frame(df: DataFrame, spec: dict[str, Any], aliases: dict[str, dict] |
         if c.get("transforms"):
             made, _ = apply_steps(made, kinds(df.select(made.alias("x")))["x"], c["transforms"])
         out.append(made.alias(title))
-    return sanitise(df.select(*out) if out else df)
+    return sanitise(df.select(*out))
 
 
 class Exporter:
@@ -63,13 +63,16 @@ class Exporter:
         self.output, self.aliases = output, aliases or {}
 
     def frames(self, workbook: dict, compiled: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """Sheet name -> its rows; a sheet whose table is unknown is left out, and one that can't be made."""
+        """Sheet name -> its rows; a sheet is left out if its table is unknown, if it lists no columns, or if it can't be made."""
         out = {}
         for i, spec in enumerate(workbook.get("sheets", []), 1):
             source = spec.get("from") or next(iter(compiled), None)
             if source not in compiled:
                 log.warning("sheet %s: no table %s", spec.get("name"), source)
                 continue
+            if not spec.get("columns"):
+                log.warning("sheet %s: no columns", spec.get("name"))
+                continue
             try:
                 out[spec.get("name", f"Sheet{i}")] = sheet_frame(compiled[source], spec, self.aliases)
             except Exception as e:  # one sheet must not stop the others
@@ -104,11 +107,11 @@ class Exporter:
         return paths
 
 
-def write_comparison(baseline: DataFrame, current: DataFrame, key: Any, path: str, columns: list[str] | None = None, id_label: str = "Baseline", new_label: str = "Current", include_unchanged: bool = False) -> str:
+def write_comparison(baseline: DataFrame, current: DataFrame, key: Any, path: str, columns: list[str] | None = None, id_label: str = "Baseline", new_label: str = "Current", include_unchanged: bool = False, precision: int = 6, show_delta: bool = True) -> str:
     """The comparison as a workbook: legend, summary with links, the three views and a sheet for each column."""
     keys = as_list(key)
     columns = [c for c in (columns or [c for c in baseline.columns if c != ORD]) if c not in keys]
-    report = cmp.compare(baseline, current, keys, columns, id_label, new_label).persist()
+    report = cmp.compare(baseline, current, keys, columns, id_label, new_label, precision=precision, show_delta=show_delta).persist()
     try:
         totals = cmp.counts(report).first()
         views = {k: v.drop("__row__").withColumn(cmp.CHANGED, F.array_join(cmp.CHANGED, ", ")) for k, v in cmp.views(report).items()}

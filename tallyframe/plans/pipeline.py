@@ -32,7 +32,7 @@ def compile_target(target: dict[str, Any], raw: dict[str, DataFrame], compiled:
     steps = target.get("enrich") or []
     frames = raw | compiled
     if mode == "diff":
-        out = diff(tables[target["left"]], tables[target["right"]], target["on"], target.get("side", "symmetric_diff"), target.get("columns_left"), target.get("columns_right"), target.get("project"), target.get("add_source"), target.get("project_all", False))
+        out = diff(tables[target["left"]], tables[target["right"]], target["on"], target.get("side", "left_only"), target.get("columns_left"), target.get("columns_right"), target.get("project"), target.get("add_source"), target.get("project_all", False))
         return keep(enrich(out, steps, frames).drop(ORD) if steps else out, target.get("post_filter"), aliases)
     tables = {i: tables[i] for i in inputs}
     if mode == "union":
@@ -83,7 +83,7 @@ class Pipeline:
                 log.error("%s and %s can't be compared: both must be compiled targets", left, right)
                 continue
             path = pair.get("path") or str(Path(output_dir(self.config.output)) / f"{pair.get('save_name', f'{left}_vs_{right}')}.xlsx")
-            self.written.append(write_comparison(self.compiled[left], self.compiled[right], pair.get("on"), path, pair.get("compare_cols"), pair.get("id_label", "Baseline"), pair.get("new_label", "Current"), pair.get("include_unchanged_in_bycol", False)))
+            self.written.append(write_comparison(self.compiled[left], self.compiled[right], pair.get("on"), path, pair.get("compare_cols"), pair.get("id_label", "Baseline"), pair.get("new_label", "Current"), pair.get("include_unchanged_in_bycol", False), pair.get("number_precision", 6), pair.get("show_delta_cols", True)))
         exporter = Exporter(self.config.output, self.config.schema_aliases)
         for workbook in self.config.export_workbooks:
             self.written.append(exporter.export_workbook(workbook, self.compiled))

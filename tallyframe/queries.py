@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 from .functions.dtypes import enforce, kinds
 from .functions.expressions import compute
 from .functions.predicates import keep
+from .functions.registry import register
 from .functions.transforms import apply_steps
 from .operators import combine
 from .operators.compare import CHANGED, STATUS, by_column, compare, counts
-from .operators.enrich import lookup
+from .operators.enrich import enrich, lookup
 from .operators.ordering import ORD
-from .plans.export import clean, sheet_frame
+from .plans.export import Exporter, clean, sheet_frame
 from .plans.pipeline import compile_target
 from .sources.readers import problems, project
 from .sources.xlsx import read_sheet, sheet_of, write_workbook
@@ -138,6 +140,13 @@ def merge_priority(spark, d):
     return combine.merge(halves(spark, d), ["id"], rules)
 
 
+@query(THREE + "SELECT id, name, coalesce(bal, bal__2) bal FROM abe")
+def merge_first_non_null_base(spark, d):
+    """Without a priority the base column stays as it is."""
+    rules = {"name": {"strategy": "first_non_null"}, "bal": {"strategy": "first_non_null", "priority": ["e"]}}
+    return combine.merge(halves(spark, d), ["id"], rules)
+
+
 @query(THREE + "SELECT id, name, bal FROM abe")
 def merge_prefer_source(spark, d):
     return combine.merge(halves(spark, d), ["id"], {"name": {"strategy": "prefer_source", "prefer_source": "b"}, "bal": {"strategy": "prefer_source", "prefer_source": "a"}} | {"name": {"strategy": "prefer_source", "prefer_source": "zz"}, "bal": {"strategy": "prefer_source", "prefer_source": "zz"}})
@@ -169,9 +178,12 @@ query(f"WITH {SNAPS} SELECT k, cust, price FROM a WHERE k NOT IN (SELECT k FROM
 query(f"WITH {SNAPS} SELECT k, cust, price FROM b WHERE k NOT IN (SELECT k FROM a)", "diff_right_only")(_diff(side="right_only"))
 query(f"WITH {SNAPS} SELECT k, cust, st, price, only_a FROM a WHERE k NOT IN (SELECT k FROM b)", "diff_project_all")(_diff(side="left_only", project_all=True))
 query(f"WITH {SNAPS} SELECT k FROM a JOIN b USING (k)", "diff_keys")(_diff(side="both", project="keys"))
-query(f"WITH {SNAPS} SELECT k, a.cust cust_left, st, a.price price_left, only_a, b.cust cust_right, b.price price_right, 'both' AS _merge FROM a JOIN b USING (k)", "diff_both")(_diff(side="both"))
+query(f"WITH {SNAPS} SELECT k, cust, price FROM a WHERE k NOT IN (SELECT k FROM b)", "diff_default_side")(_diff())
+COLLIDED = "a.cust cust_left, a.price price_left, b.cust cust_right, b.price price_right"
+query(f"WITH {SNAPS} SELECT k, {COLLIDED}, 'both' AS _merge FROM a JOIN b USING (k)", "diff_both")(_diff(side="both"))
+query(f"WITH {SNAPS} SELECT k, {COLLIDED}, a.st, a.only_a, 'both' AS _merge FROM a JOIN b USING (k)", "diff_both_all")(_diff(side="both", project_all=True))
 query(
-    f"WITH {SNAPS} SELECT k, a.cust cust_left, a.st, a.price price_left, a.only_a, b.cust cust_right, b.price price_right, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS _source, CASE WHEN b.k IS NULL THEN 'left_only' ELSE 'right_only' END AS _merge FROM (SELECT k AS ka, * EXCLUDE k FROM a) a FULL JOIN b ON ka = b.k, LATERAL (SELECT coalesce(ka, b.k) k) WHERE ka IS NULL OR b.k IS NULL".replace("SELECT k, a.cust cust_left", "SELECT coalesce(ka, b.k) k, a.cust cust_left").replace(", LATERAL (SELECT coalesce(ka, b.k) k)", ""),
+    f"WITH {SNAPS} SELECT coalesce(a.k, b.k) AS k, {COLLIDED}, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS _source, CASE WHEN b.k IS NULL THEN 'left_only' ELSE 'right_only' END AS _merge FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL",
     "diff_symmetric",
 )(_diff(side="symmetric_diff"))
 query(f"WITH {SNAPS} SELECT k, a.price price_left, b.price price_right, 'both' AS _merge FROM a JOIN b USING (k)", "diff_columns")(_diff(side="both", columns_left=["price"], columns_right=["price"]))
@@ -248,6 +260,12 @@ query(ITEMS.format("CASE WHEN q < 10 THEN 10.0::DOUBLE WHEN q > 40 THEN 40.0::DO
 query(f"WITH h AS ({HOLES}) SELECT k, st = 'O' AS eq, st <> 'O' AS ne, coalesce(price > 1000, false) AS gt, coalesce(price > 1000, false) AND coalesce(st = 'O', NULL) AS an, NOT (k > 5) AS nt FROM h", "expr_compare_logic")(
     _computed(holes, ["k"], {"eq": ["eq", col("st"), "O"], "ne": ["neq", col("st"), "O"], "gt": ["gt", col("price"), 1000], "an": ["and", ["gt", col("price"), 1000], ["eq", col("st"), "O"]], "nt": ["not", ["gt", col("k"), 5]]}, {"st": {"type": "string"}, "k": {"type": "integer"}})
 )
+query(f"WITH h AS ({HOLES}) SELECT k, coalesce(price >= 1000, false) AS ge, coalesce(price < 1000, false) AS lt, coalesce(price <= 1000, false) AS le, k > 5 OR st = 'O' AS o FROM h", "expr_order_or")(
+    _computed(holes, ["k"], {"ge": ["gte", col("price"), 1000], "lt": ["lt", col("price"), 1000], "le": ["lte", col("price"), 1000], "o": ["or", ["gt", col("k"), 5], ["eq", col("st"), "O"]]}, {"st": {"type": "string"}, "k": {"type": "integer"}})
+)
+query(f"WITH h AS ({HOLES}) SELECT k, st || '!' AS s, regexp_replace(st, '[OF]', '<0>', 'g') AS r FROM h", "expr_text_add_replace")(
+    _computed(holes, ["k"], {"s": ["add", col("st"), "!"], "r": ["regex_replace", col("st"), "[OF]", "<0>"]})
+)
 query(f"WITH h AS ({HOLES}) SELECT k, CASE WHEN st = 'O' THEN price ELSE k END AS a, CASE WHEN price > 1000 THEN 'x' END AS b FROM h", "expr_if")(
     _computed(holes, ["k"], {"a": ["if", ["eq", col("st"), "O"], col("price"), col("k")], "b": ["if", ["gt", col("price"), 1000], "x"]})
 )
@@ -495,6 +513,34 @@ def doc_edit(spark, d):
     return n.df
 
 
+@query("SELECT n_nationkey, n_name, 0.5::DOUBLE AS __score__ FROM nation WHERE n_nationkey = 3".replace("__score__", '"__score__"'))
+def doc_match_other_kind(spark, d):
+    """A value of another kind than its column agrees with nothing, and doesn't fail."""
+    return Document(spark, "n", t(spark, d, "nation").select("n_nationkey", "n_name")).match({"n_nationkey": 3, "n_name": 3}, threshold=0.5)
+
+
+@query("SELECT o_orderkey, o_totalprice, n FROM orders JOIN (SELECT o_custkey, count(*) n FROM orders GROUP BY o_custkey) USING (o_custkey)")
+def enrich_plugin(spark, d):
+    """A user's step, registered by name and called by ``fn``."""
+    register("enrich", "orders_of", lambda df, params, frames: df.join(frames["orders"].groupBy(params["by"]).agg(F.count(F.lit(1)).alias("n")), params["by"]))
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return enrich(o, [{"fn": "orders_of", "params": {"by": "o_custkey"}}], {"orders": o}).select("o_orderkey", "o_totalprice", "n")
+
+
+@query("SELECT 'listed' AS sheet, count(*) AS n FROM region")
+def export_no_columns(spark, d):
+    """Of two sheets only the one that lists columns is exported."""
+    sheets = [{"name": "bare", "from": "region"}, {"name": "listed", "from": "region", "columns": {"Key": "r_regionkey"}}]
+    made = Exporter().frames({"sheets": sheets}, {"region": t(spark, d, "region")})
+    return reduce(lambda a, b: a.unionByName(b), [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("sheet"), "n") for name, df in made.items()])
+
+
+@query("SELECT o_orderkey k, CASE WHEN round_even(o_totalprice, 0) <> round_even(o_totalprice + 0.4, 0) THEN 'changed' ELSE 'unchanged' END AS status FROM orders")
+def compare_precision(spark, d):
+    o = t(spark, d, "orders").selectExpr("o_orderkey k", "o_totalprice p")
+    return compare(o, o.withColumn("p", F.col("p") + 0.4), ["k"], precision=0, show_delta=False).select("k", F.col(STATUS).alias("status"))
+
+
 #: The flagship: two sources, filtered, united, deduplicated, looked up and exported as one sheet.
 FLAGSHIP = {
     "name": "roster",

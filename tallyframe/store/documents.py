@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dtypes import named
+from ..functions.dtypes import DATE, kinds, named
+from ..functions.predicates import compare, literal, literal_kind
 from ..sources.inline import inline_frame
 
 ROW = "__row"
@@ -109,18 +110,22 @@ class Document:
     ) -> DataFrame:
         """Rows that agree with ``query`` in at least ``threshold`` of its keys.
 
-        At 1 or more all keys must agree, and null agrees with nothing. With the
-        score, the best come first. No query or no keys: no rows.
+        At 1 or more all keys must agree, and null agrees with nothing. A value of
+        another kind than its column agrees with nothing either. With the score, the
+        best come first. No query or no keys: no rows.
         """
         rows = self._rows if candidates is None else numbered(candidates)
         keys = [k for k in (keys or query) if k in query and k in rows.columns]
         if not keys:
             return rows.drop(ROW).limit(0)
-        exact = threshold >= 1
+        exact, have = threshold >= 1, kinds(rows)
 
         def equal(k: str) -> Column:
-            v = F.lit(query[k])
-            return named(k).eqNullSafe(v) if nulls_match and not exact else F.coalesce(named(k) == v, F.lit(False))
+            v = query[k]
+            if v is None:
+                return named(k).isNull() if nulls_match and not exact else F.lit(False)
+            kind = have[k]
+            return F.coalesce(compare(named(k), kind, "==", literal(v, kind), kind if isinstance(v, str) and kind == DATE else literal_kind(v), True), F.lit(False))
 
         if exact:
             found = rows.filter(reduce(lambda a, b: a & b, [equal(k) for k in keys])).withColumn("__score__", F.lit(1.0))
