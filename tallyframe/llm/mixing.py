@@ -85,7 +85,6 @@ def mix(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    rows_per_bucket: int = 5_000,
 ) -> DataFrame:
     """One row per chosen copy: doc_id, domain, lang, source, tokens, epoch.
 
@@ -94,9 +93,9 @@ def mix(
     hundredths of all tokens; a leaf gives at most ``max_epochs`` copies of itself.
     Documents without words (null or empty text too) hold no tokens and are never
     chosen; a null language, source or domain is the empty name. Repeated rows are
-    rows of their own. An empty table gives no rows. A leaf's order is cut into
-    ranges of about ``rows_per_bucket`` documents, so that a source that holds a
-    third of all rows is summed and ranked by many tasks.
+    rows of their own. An empty table gives no rows. The order of a leaf of n documents
+    is cut into the root of n ranges, so that a source that holds a third of all rows
+    is ranked by many tasks, and the ranges' sums are few.
     """
     levels = ["domain", "lang", "source"]
     rows = docs.select(
@@ -112,7 +111,7 @@ def mix(
         *levels,
         F.expr("target div supply").alias("whole"),
         F.expr("target % supply").alias("rest"),
-        F.greatest(F.lit(1), F.expr(f"n div {rows_per_bucket}")).alias("buckets"),
+        F.expr("cast(floor(sqrt(n)) as long)").alias("buckets"),
     )
     # a row a leaf: broadcast, so that the rows are dealt by leaf and bucket together and a large leaf is split
     chosen = small(stored(chosen, "chosen"))
