@@ -12,6 +12,7 @@ that holds a third of all rows is ranked by many tasks.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from functools import lru_cache
 
@@ -209,7 +210,6 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 0,
-    rows_per_bucket: int = 20_000,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -225,7 +225,7 @@ def pack_documents(
     for r in pieces.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
     shared = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
-    buckets = max(1, int(counts.max()) // rows_per_bucket)
+    buckets = max(1, math.isqrt(int(counts.max())))  # a length of n pieces: root of n ranges of root of n pieces
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     before = (
         dealt.groupBy("length", "bucket")
