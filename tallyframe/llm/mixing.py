@@ -85,6 +85,7 @@ def mix(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per chosen copy: doc_id, domain, lang, source, tokens, epoch.
 
@@ -94,7 +95,7 @@ def mix(
     Documents without words (null or empty text too) hold no tokens and are never
     chosen; a null language, source or domain is the empty name. Repeated rows are
     rows of their own. An empty table gives no rows. The order of a leaf of n documents
-    is cut into the root of n ranges, so that a source that holds a third of all rows
+    is cut into the root of n ranges (or so many as given), so that a source that holds a third of all rows
     is ranked by many tasks, and the ranges' sums are few.
     """
     levels = ["domain", "lang", "source"]
@@ -111,7 +112,7 @@ def mix(
         *levels,
         F.expr("target div supply").alias("whole"),
         F.expr("target % supply").alias("rest"),
-        F.expr("cast(floor(sqrt(n)) as long)").alias("buckets"),
+        F.expr("cast(floor(sqrt(n)) as long)" if ranges is None else f"{int(ranges)}L").alias("buckets"),
     )
     # a row a leaf: broadcast, so that the rows are dealt by leaf and bucket together and a large leaf is split
     chosen = small(stored(chosen, "chosen"))

@@ -410,7 +410,7 @@ def test_chain_learns_from_earlier_categories():
 
 def test_mixing(spark, docs, odd, db):
     same_as_sql(mixing.registered_mix(docs), db, mixing.ORACLE)
-    small = mixing.mix(docs, mixing.source_domain(F.col("source")), mixing.WEIGHTS, 80, 2, rows_per_bucket=3)
+    small = mixing.mix(docs, mixing.source_domain(F.col("source")), mixing.WEIGHTS, 80, 2, ranges=1)
     same_as_sql(small, db, mixing.ORACLE)
     assert mixing.mix(odd, F.lit(None), {}, 100, 1).filter("tokens = 0").count() == 0
     assert mixing.mix(docs.limit(0), F.lit("d"), {}, 100, 1).count() == 0
