@@ -32,6 +32,8 @@ PIECE = 8
 PLACE_BITS = 21
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 NO_ID = -(1 << 63)
+#: A side of at most so many bytes, as counted, is broadcast.
+MOST_BYTES = 64 << 20
 
 ANCHORS = "gram long, sa long, sb long, doc_id long, th binary, start long, windows int, lead int"
 
@@ -237,18 +239,18 @@ def _rerank(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     several different spans one place of each goes on, with m, how often it occurs.
     """
     again = stored(rows.groupBy("gram").count().filter("count > 1").select("gram"), "again")
-    left = stored(rows.join(small(again), "gram"), "left")
+    left = stored(rows.join(small(again, MOST_BYTES), "gram"), "left")
     discard(rows)
     spans = stored(left.groupBy("gram", "sa", "sb").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*place)).alias("r")).select("gram", "sa", "sb", "m", "r.*"), "spans")
     same = stored(spans.filter("m > 1").select("gram", "sa", "sb"), "same")
     differ = stored(spans.groupBy("gram").count().filter("count > 1").select("gram"), "differ")
-    return left.join(small(same), ["gram", "sa", "sb"]).select(*place), spans.join(small(differ), "gram").select(*place, "m")
+    return left.join(small(same, MOST_BYTES), ["gram", "sa", "sb"]).select(*place), spans.join(small(differ, MOST_BYTES), "gram").select(*place, "m")
 
 
 def _with_texts(texts: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
     """doc_id, th, the text's bytes and its requests; of equal rows any one would do."""
     requests = stored(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("asked")), "requests")
-    return texts.join(small(requests), ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
+    return texts.join(small(requests, MOST_BYTES), ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
 
 
 def repeated_runs(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,6 +292,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     null. An empty table gives no rows.
     """
     runs = stored(repeated_runs(docs, length, id_col, text_col), "runs")
-    texts = _keyed(docs, id_col, text_col).join(small(runs), ["doc_id", "th"], "left")
+    texts = _keyed(docs, id_col, text_col).join(small(runs, MOST_BYTES), ["doc_id", "th"], "left")
     cut = map_arrow(texts.select("doc_id", F.col("text").cast("binary").alias("text"), "runs"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
