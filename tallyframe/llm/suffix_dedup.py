@@ -25,15 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BASE, _BASE_INV, _BYTE, _power, discard, map_arrow, mix64, stored, text_chunks
-from .graph import small
 
 GRAM = 64
 PIECE = 8
 PLACE_BITS = 21
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 NO_ID = -(1 << 63)
-#: A side of at most so many bytes, as counted, is broadcast.
-MOST_BYTES = 64 << 20
 
 ANCHORS = "gram long, sa long, sb long, doc_id long, th binary, start long, windows int, lead int"
 
@@ -232,6 +229,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), digest.alias("th"), text.alias("text"))
 
 
+def _met(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` by a shuffle at every size: all sides here grow with the input."""
+    return rows.join(side.hint("merge"), keys, how)
+
+
 def _rerank(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     """One round over rows of gram, sa, sb and ``place``: (places of spans that repeat as a whole, what goes on).
 
@@ -239,18 +241,18 @@ def _rerank(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     several different spans one place of each goes on, with m, how often it occurs.
     """
     again = stored(rows.groupBy("gram").count().filter("count > 1").select("gram"), "again")
-    left = stored(rows.join(small(again, MOST_BYTES), "gram"), "left")
+    left = stored(_met(rows, again, ["gram"]), "left")
     discard(rows)
     spans = stored(left.groupBy("gram", "sa", "sb").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*place)).alias("r")).select("gram", "sa", "sb", "m", "r.*"), "spans")
     same = stored(spans.filter("m > 1").select("gram", "sa", "sb"), "same")
     differ = stored(spans.groupBy("gram").count().filter("count > 1").select("gram"), "differ")
-    return left.join(small(same, MOST_BYTES), ["gram", "sa", "sb"]).select(*place), spans.join(small(differ, MOST_BYTES), "gram").select(*place, "m")
+    return _met(left, same, ["gram", "sa", "sb"]).select(*place), _met(spans, differ, ["gram"]).select(*place, "m")
 
 
 def _with_texts(texts: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
     """doc_id, th, the text's bytes and its requests; of equal rows any one would do."""
     requests = stored(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("asked")), "requests")
-    return texts.join(small(requests, MOST_BYTES), ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
+    return _met(texts, requests, ["doc_id", "th"]).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "asked")
 
 
 def repeated_runs(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,15 +271,15 @@ def repeated_runs(docs: DataFrame, length: int = 200, id_col: str = "doc_id", te
     settled, rest = _rerank(stored(pieces, "pieces"), ["id", "start", "windows"])
     parts = stored(rest.withColumnRenamed("id", "run").withColumn("id", F.monotonically_increasing_id()), "asked")
 
-    asked = parts.join(runs.select(F.col("id").alias("run"), "doc_id", "th"), "run")
+    asked = _met(parts, runs.select(F.col("id").alias("run"), "doc_id", "th"), ["run"])
     named = stored(map_arrow(_with_texts(texts, asked, "id", "start", "windows"), _name_windows(length), "na long, nb long, window long"), "windows")
     groups = stored(named.groupBy("na", "nb").agg(F.min("window").alias("lo"), F.max("window").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi"), "groups")
     two = groups.select(F.explode(F.array("lo", "hi")).alias("window"))
-    more = named.join(small(stored(groups.filter("m > 2").select("na", "nb"), "more")), ["na", "nb"]).select("window")
+    more = _met(named, stored(groups.filter("m > 2").select("na", "nb"), "more"), ["na", "nb"]).select("window")
     found = two.unionByName(more).distinct().select(F.expr(f"window div {PIECE}").alias("id"), F.expr(f"window % {PIECE}").alias("offset"))
-    single = found.join(parts.filter("m = 1").select("id", "run", "start"), "id").select(F.col("run").alias("id"), (F.col("start") + F.col("offset")).alias("start"), F.lit(1).cast("long").alias("windows"))
+    single = _met(found, parts.filter("m = 1").select("id", "run", "start"), ["id"]).select(F.col("run").alias("id"), (F.col("start") + F.col("offset")).alias("start"), F.lit(1).cast("long").alias("windows"))
 
-    inside = settled.unionByName(single).join(alone, "id")
+    inside = _met(settled.unionByName(single), alone, ["id"])
     # a document's intervals are at most as many as its bytes
     pairs = whole.select(*interval).unionByName(inside.select(*interval)).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("pairs"))
     return map_arrow(pairs, _merge, "doc_id long, th binary, runs array<long>")
@@ -292,6 +294,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     null. An empty table gives no rows.
     """
     runs = stored(repeated_runs(docs, length, id_col, text_col), "runs")
-    texts = _keyed(docs, id_col, text_col).join(small(runs, MOST_BYTES), ["doc_id", "th"], "left")
+    texts = _met(_keyed(docs, id_col, text_col), runs, ["doc_id", "th"], "left")
     cut = map_arrow(texts.select("doc_id", F.col("text").cast("binary").alias("text"), "runs"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
