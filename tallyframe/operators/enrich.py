@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import TransformError
 from ..functions.dtypes import DATE, INTEGER, NUMBER, kinds, named, text
 from ..functions.predicates import comparable
-from ..functions.similarity import normalise, scorer
+from ..functions.similarity import COMPARED, SCORERS, bag, characters, known, may_reach, normalise, prepared, ratio_of, words_of
 from .ordering import ORD, with_order
 
 DEFAULT_STEPS = ["nfkc", "strip", "lower", "collapse_ws", "strip_punct", "strip_accents"]
@@ -55,6 +55,52 @@ def _block_size(block: str | None) -> int:
     return {"first_char": 1, "first2": 2}.get(block or "", 0)
 
 
+def _signs(rows: DataFrame, key: str, text_col: str, name: str, threshold: float) -> DataFrame:
+    """key, length, bits (their bitmap), first, sign: the characters of each compared text, numbered where they repeat.
+
+    A text of n characters shares at least o = t n / (200 - t) of them, as a
+    multiset, with any other it scores t with, so that in any one order of the signs
+    one of its ``first`` = n - o + 1 is among the other's as well.
+    """
+    compared = rows.select(key, COMPARED[name](F.col(text_col)).alias("c"))
+    length, bits = F.length("c"), bag(characters(F.col("c")))
+    least = F.ceil(F.lit(float(threshold)) * length / (200.0 - threshold) - 1e-9)
+    chars = compared.select(key, length.alias("length"), bits.alias("bits"), (length - least + 1).alias("first"), F.explode(F.split("c", "")).alias("ch"))
+    counted = chars.groupBy(key, "length", "bits", "first", "ch").agg(F.count(F.lit(1)).alias("times"))
+    return counted.select(key, "length", "bits", "first", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "times"), lambda i: F.concat("ch", i.cast("string")))).alias("sign"))
+
+
+def _meeting(left: DataFrame, right: DataFrame, name: str, threshold: float) -> DataFrame:
+    """k, r of all pairs that may reach the threshold: by shared signs, and no pair of keys that share none.
+
+    Signs are ordered from rare to frequent among ``right``, so that the first
+    ones of a key meet few others. For partial_ratio the shorter text's first signs
+    must meet any of the longer's; for token_set_ratio a shared word will do too.
+    """
+    if threshold <= 0:  # everything matches
+        return left.crossJoin(right)
+    if threshold > 100:
+        return left.join(right.limit(0), F.col("k") == F.col("r")).select("k", "r")
+    signs = {key: _signs(rows, key, text_col, name, threshold) for key, text_col, rows in (("k", "n", left), ("r", "rn", right))}
+    often = signs["r"].groupBy("sign").agg(F.count(F.lit(1)).alias("often"))
+    sides = {}
+    for key, side in signs.items():
+        order = Window.partitionBy(key).orderBy(F.coalesce("often", F.lit(0)), "sign")
+        ranked = side.join(often, "sign", "left").withColumn("at", F.row_number().over(order))
+        sides[key] = ranked.withColumn("early", F.col("at") <= F.col("first")).select(key, "sign", "early", F.col("length").alias(f"{key}_length"), F.col("bits").alias(f"{key}_bits"))
+    ks, rs = sides["k"].withColumnRenamed("early", "k_early"), sides["r"].withColumnRenamed("early", "r_early")
+    if name == "partial_ratio":
+        met = ks.filter("k_early").join(rs, "sign").filter("k_length <= r_length").select("k", "r")
+        met = met.unionByName(ks.join(rs.filter("r_early"), "sign").filter("k_length > r_length").select("k", "r"))
+    else:
+        enough = may_reach(threshold, *map(F.col, ("k_length", "r_length", "k_bits", "r_bits")))
+        met = ks.filter("k_early").join(rs.filter("r_early"), "sign").filter(enough).select("k", "r")
+    if name == "token_set_ratio":
+        words = lambda rows, key, n: rows.select(key, F.explode(words_of(F.col(n))).alias("word"))
+        met = met.unionByName(words(left, "k", "n").join(words(right, "r", "rn"), "word").select("k", "r"))
+    return met.distinct()
+
+
 def match_keys(keys: DataFrame, right: DataFrame, m: Match) -> DataFrame:
     """k, match, score, method for each row of ``keys`` (k, distinct, not null).
 
@@ -76,19 +122,33 @@ def match_keys(keys: DataFrame, right: DataFrame, m: Match) -> DataFrame:
     if "fuzzy" not in m.strategy:
         return hit
     left = same.filter("match is null").select("k", "n")
-    size = _block_size(m.block)
+    name, size = known(m.scorer), _block_size(m.block)
+    bits = name in ("ratio", "token_sort_ratio")
+
+    def ready(rows: DataFrame, n: str) -> DataFrame:
+        # once a key, not once a pair
+        if not bits:
+            return rows
+        rows = rows.withColumn(f"{n}_p", prepared(COMPARED[name](F.col(n))))
+        return rows.withColumn(f"{n}_b", bag(F.col(f"{n}_p.chars")))
+
     candidates = right.select("r", F.col("n").alias("rn"), ORD)
+    free, blocked = left, None
     if size:
         left, candidates = left.withColumn("block", F.substring("n", 1, size)), candidates.withColumn("block", F.substring("rn", 1, size))
         blocks = candidates.select("block").distinct()
-        blocked = left.join(candidates, "block")
-        free = left.join(blocks, "block", "left_anti").withColumn("all", F.lit(1))
-        blocked = blocked.select("k", "n", "r", "rn", ORD).unionByName(free.join(candidates.withColumn("all", F.lit(1)), "all").select("k", "n", "r", "rn", ORD))
+        blocked = ready(left, "n").join(ready(candidates, "rn"), "block").drop("block")
+        free, candidates = left.join(blocks, "block", "left_anti").drop("block"), candidates.drop("block")
+    pairs = _meeting(free, candidates, name, m.threshold)
+    pairs = ready(ready(pairs, "n"), "rn") if m.threshold <= 0 else pairs.join(ready(free, "n"), "k").join(ready(candidates, "rn"), "r")
+    blocked = pairs if blocked is None else blocked.unionByName(pairs)
+    if bits:
+        x, y = F.col("n_p"), F.col("rn_p")
+        blocked = blocked.filter(may_reach(m.threshold, x["n"], y["n"], F.col("n_b"), F.col("rn_b")))
+        score = ratio_of(x, y)
     else:
-        blocked = left.withColumn("all", F.lit(1)).join(candidates.withColumn("all", F.lit(1)), "all").select("k", "n", "r", "rn", ORD)
-    if m.scorer in ("ratio",):  # the shorter text bounds the score
-        blocked = blocked.filter(200 * F.least(F.length("n"), F.length("rn")) >= m.threshold * (F.length("n") + F.length("rn")))
-    scored = blocked.withColumn("score", scorer(m.scorer)(F.col("n"), F.col("rn"))).filter(F.col("score") >= m.threshold)
+        score = SCORERS[name](F.col("n"), F.col("rn"))
+    scored = blocked.select("k", "r", ORD, score.alias("score")).filter(F.col("score") >= m.threshold)
     best = scored.groupBy("k").agg(F.min_by(F.struct("r", "score"), F.struct(-F.col("score"), ORD)).alias("b"))
     return hit.unionByName(best.select("k", F.col("b.r").alias("match"), F.col("b.score").cast("long").alias("score"), F.lit("fuzzy").alias("method")))
 
