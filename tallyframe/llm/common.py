@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -64,6 +65,22 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """The session's settings are those of ``conf`` meanwhile: for tables that are stored, as other plans are lazy."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` that no later plan reads; one that is gone already is passed over."""
     for df in tables:

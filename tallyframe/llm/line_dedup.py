@@ -3,22 +3,24 @@
 Signatures are minima of all five-character shingles of a line under XOR orders (the
 minimum of ``h ^ c`` is the hash nearest to c, another uniform draw for each c). All
 orders begin with the shingles of even hash, so that in a line long enough to have
-some only those can be a minimum. Lines that share a band, and agree in half of their
-minima, are candidates; pairs that differ in too many bits of a bitmap of their shingles cannot be similar, and the
-others are held against each other by the exact Jaccard similarity of the same
-sets. Similar lines join components, and of each component one line stays.
+some only those can be a minimum. Lines that share a band, and agree in 18 of 32
+minima by their last two bits, are candidates. Each is held against the most alike of them first, by the exact
+Jaccard similarity of the same sets; of pairs that this leaves unjoined those that differ in too many bits
+of a bitmap of their shingles cannot be similar, and the others are held against each other in the same way.
+Similar lines join components, and of each component one line stays.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settled, stored
-from .graph import components, labelled, small, spread_pairs, star_links
+from .common import discard, settings, settled, stored
+from .graph import components, labelled, nearer, small, spread_pairs, star_links
 
 BREAK = r"\r?\n"
 BLANKS = " \t\n\x0b\f\r"
@@ -26,10 +28,13 @@ SIZE = 5
 #: Of a line of ``ALL`` characters or more the minima are taken over the shingles of even hash, and the ``FIRST`` ones.
 ALL, FIRST = 64, 32
 WORDS = 16
-#: A candidate pair agrees in so many of the 27 minima: at Jaccard 0.8 fewer do with probability 0.0003.
-LANE, LANES, LEAST = 7, 9, 14
+#: A minimum is kept as its last ``LANE`` bits, ``LANES`` to a long. Of 32 a candidate pair agrees in ``LEAST``, by their last two bits.
+LANE, LANES, LEAST = 16, 4, 18
+EVEN_BITS = 0x5555555555555555
 #: Groups of at most so many lines are paired at once; larger ones by leaders first.
-FEW = 8
+FEW = 16
+#: Shuffled files go with the query that wrote them; of many aggregates one hash map is faster than two.
+CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -75,101 +80,163 @@ def dealt_bands(pool: int, bands: int, rows: int, seed: int) -> list[list[int]]:
     return out
 
 
-def sketch(pool: int) -> list[Column]:
-    """``LANE`` bits of each of the minima m0.., as longs s0.. of ``LANES`` lanes."""
+def lanes(pool: int) -> list[Column]:
+    """The last ``LANE`` bits of each of the minima m0.., as longs p0.. of ``LANES`` lanes."""
     out = []
     for i in range(0, pool, LANES):
-        lanes = [F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit((1 << LANE) - 1)).cast("long"), LANE * (j - i)) for j in range(i, min(pool, i + LANES))]
-        total = lanes[0]
-        for lane in lanes[1:]:
-            total = total.bitwiseOR(lane)
-        out.append(total.alias(f"s{i // LANES}"))
+        total = F.lit(0).cast("long")
+        for j in range(i, min(pool, i + LANES)):
+            total = total.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit((1 << LANE) - 1)).cast("long"), LANE * (j - i)))
+        out.append(total.alias(f"p{i // LANES}"))
     return out
 
 
-def agree(pool: int, least: int) -> str:
-    """Whether s0.. and other_s0.. have at least ``least`` of their ``pool`` lanes in common."""
-    ones = sum(1 << LANE * i for i in range(LANES))
-    differ = []
-    for i in range(-(-pool // LANES)):
-        any_bit = " | ".join(f"shiftrightunsigned(s{i} ^ other_s{i}, {k})" for k in range(LANE))
-        differ.append(f"bit_count(({any_bit}) & {ones}L)")
-    return f"{' + '.join(differ)} <= {pool - least}"
+def lane(j: int, bits: int = LANE) -> Column:
+    """The last ``bits`` bits of minimum j, out of p0..."""
+    return F.shiftrightunsigned(f"p{j // LANES}", LANE * (j % LANES)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def banded(lines: DataFrame, pool: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """h1, h2, n (occurrences), band keys b0.. and sketch s0.. (``LANE`` bits of each minimum) of the distinct lines that are not blank."""
+def sketch(pool: int) -> Column:
+    """The last two bits of the first 32 minima, out of p0.., as one long."""
+    total = F.lit(0).cast("long")
+    for j in range(min(pool, 32)):
+        total = total.bitwiseOR(F.shiftleft(lane(j, 2), 2 * j))
+    return total.alias("q")
+
+
+def differ(x: str) -> str:
+    """In how many lanes two sketches differ, given their XOR."""
+    return f"bit_count((({x}) | shiftrightunsigned({x}, 1)) & {EVEN_BITS}L)"
+
+
+def agree(pool: int, x: str = "(q ^ other_q)") -> str:
+    """Whether two sketches, given their XOR, agree in enough lanes."""
+    n = min(pool, 32)
+    return f"{differ(x)} <= {n - n * LEAST // 32}"
+
+
+def signed(lines: DataFrame, pool: int, seed: int) -> DataFrame:
+    """h1, h2, n (occurrences) and p0.. (``LANE`` bits of each minimum) of the distinct lines that are not blank."""
     draw = random.Random(seed)
     constants = [draw.getrandbits(28) for _ in range(pool)]
     wide = lines.filter("h1 is not null").select("h1", "h2", F.encode("line", "UTF-32").alias("wide"))
     at = wide.select("h1", "h2", "wide", F.explode(places(F.col("wide"))).alias("at"))
     long_enough = F.expr(f"octet_length(wide) div 4 >= {ALL}")
-    hashed = at.select("h1", "h2", "at", long_enough.alias("long_enough"), shingle(F.col("wide"), F.col("at")).alias("h"))
+    # a filter is not moved below what isn't deterministic, where it would hash each shingle again
+    once = F.when(F.monotonically_increasing_id() >= 0, shingle(F.col("wide"), F.col("at"))).otherwise(F.lit(0).cast("long"))
+    hashed = at.select("h1", "h2", "at", long_enough.alias("long_enough"), once.alias("h"))
     odd = F.expr("h & 1").cast("int")
     hashed = hashed.filter((F.col("at") < FIRST) | ~F.col("long_enough") | (odd == 0))
     order = (F.shiftleft(odd, 28) + F.shiftrightunsigned("h", 36).cast("int")).alias("order")
     first = hashed.select("h1", "h2", F.when(F.col("at") == 0, 1).otherwise(0).alias("first"), order)
-    signed = first.groupBy("h1", "h2").agg(F.sum("first").alias("n"), *[F.min(F.col("order").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants)])
-    return signed.select("h1", "h2", "n", *[F.xxhash64(F.lit(i), *[f"m{j}" for j in band]).alias(f"b{i}") for i, band in enumerate(dealt_bands(pool, bands, rows, seed))], *sketch(pool))
+    minima = [F.min(F.col("order").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants)]
+    return first.groupBy("h1", "h2").agg(F.sum("first").alias("n"), *minima).select("h1", "h2", "n", *lanes(pool))
+
+
+def band_name(i: int, band: list[int]) -> Column:
+    """The name of the minima in ``band``, out of p0..: of each long its lanes are hashed at once."""
+    masks: dict[int, int] = {}
+    for j in band:
+        masks[j // LANES] = masks.get(j // LANES, 0) | ((1 << LANE) - 1) << LANE * (j % LANES)
+    signed_masks = {k: m - (1 << 64 if m >> 63 else 0) for k, m in masks.items()}
+    return F.xxhash64(F.lit(i), *[F.col(f"p{k}").bitwiseAND(F.lit(m).cast("long")) for k, m in sorted(signed_masks.items())])
+
+
+def keyed(distinct: DataFrame, pool: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """g, node, q of each band of the rows node, q, p0.."""
+    names = [band_name(i, band) for i, band in enumerate(dealt_bands(pool, bands, rows, seed))]
+    # a few bands at a time: the code of all is longer than what the JVM compiles
+    parts = [distinct.select("node", "q", F.explode(F.array(*names[i : i + 6])).alias("g")) for i in range(0, bands, 6)]
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """node, n (shingles with repeats) and the bitmap w0..w15 of the shingles, of rows node, line."""
-    at = lines.select("node", F.encode("line", "UTF-32").alias("wide")).select("node", "wide", F.explode(places(F.col("wide"))).alias("at"))
-    h = at.select("node", shingle(F.col("wide"), F.col("at")).alias("h"))
+    """node, q, n (shingles with repeats) and the bitmap w0..w15 of the shingles, of rows node, q, line."""
+    at = lines.select("node", "q", F.encode("line", "UTF-32").alias("wide")).select("node", "q", "wide", F.explode(places(F.col("wide"))).alias("at"))
+    h = at.select("node", "q", shingle(F.col("wide"), F.col("at")).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    h = h.select("node", bit.alias("bit"), F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("word"))
-    return h.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+    h = h.select("node", "q", bit.alias("bit"), F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("word"))
+    return h.groupBy("node", "q").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
 
 
 def may_link(num: int, den: int) -> str:
     """Necessary for Jaccard num/den between lines n, w0.. and other_n, other_w0..: each bit that differs is a shingle that differs."""
-    differ = " + ".join(f"bit_count(w{i} ^ other_w{i})" for i in range(WORDS))
-    return f"{num + den} * ({differ}) <= {den - num} * (n + other_n)"
+    bits = " + ".join(f"bit_count(w{i} ^ other_w{i})" for i in range(WORDS))
+    return f"{num + den} * ({bits}) <= {den - num} * (n + other_n)"
 
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pool: int = 27, bands: int = 12, rows: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def unjoined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The ``pairs`` (a, b, ..) whose ends do not have one label yet."""
+    if labels is None:
+        return pairs
+    for end in ("a", "b"):
+        pairs = pairs.join(small(labels.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"))), end, "left")
+    return pairs.filter("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
+
+
+def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pool: int = 32, bands: int = 24, rows: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, no, occ, h1, h2 of all lines; h1, h2, class of the lines that occur more than once or are like another)."""
     num, den = round(threshold * 1000), 1000
     every = stored(split_lines(docs, id_col, text_col).select("row", "doc_id", "no", F.monotonically_increasing_id().alias("occ"), "h1", "h2"), "lines")
-    distinct = stored(banded(split_lines(docs, id_col, text_col), pool, bands, rows, seed).withColumn("node", F.monotonically_increasing_id()), "distinct")
-
-    signs = [f"s{i}" for i in range(-(-pool // LANES))]
-    keyed = distinct.select("node", *signs, F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("g"))
-    groups = stored(keyed.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "bands")
-    # a group of two is its two ends, groups of a few are their pairs; larger ones get their members from the lines again
-    other = [F.col(x).alias(f"other_{x}") for x in signs]
-    twos = groups.filter("m = 2").select("lo", "hi").distinct().join(distinct.select(F.col("node").alias("lo"), *signs), "lo")
-    twos = twos.join(distinct.select(F.col("node").alias("hi"), *other), "hi").filter(agree(pool, LEAST))
+    distinct = signed(split_lines(docs, id_col, text_col), pool, seed).withColumn("q", sketch(pool))
+    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+
+    keys = keyed(distinct, pool, bands, rows, seed)
+    groups = keys.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("q").alias("x"))
+    groups = stored(groups.filter(f"a <> b AND (m > 2 OR {agree(pool, 'x')})"), "bands")
+    # a group of two is its two ends, and the XOR of their sketches; larger ones get their members from the lines again, a few are paired at once
+    twos = groups.filter("m = 2").select("a", "b", F.expr(differ("x")).alias("d"))
     larger = stored(groups.filter("m > 2").select("g", "m"), "larger")
-    named = stored(keyed.join(small(larger), "g").select("g", "m", "node", *signs), "named")
-    few = named.filter(f"m <= {FEW}")
-    few = few.select("g", F.col("node").alias("lo"), *signs).join(few.select("g", F.col("node").alias("hi"), *other), "g").filter(f"lo < hi AND {agree(pool, LEAST)}")
-    pairs = twos.select("lo", "hi", *signs, *[f"other_{x}" for x in signs]).unionByName(few.drop("g")).distinct()
-    ends = F.array(F.struct(F.col("lo").alias("node"), *signs), F.struct(F.col("hi").alias("node"), *[F.col(f"other_{x}").alias(x) for x in signs]))
-    ends = pairs.select(F.xxhash64("lo", "hi").alias("g"), F.explode(ends).alias("x")).select("g", "x.*")
-    members = stored(ends.unionByName(named.filter(f"m > {FEW}").select("g", "node", *signs)), "members")
-    discard(named)
-    discard(groups, larger)
-
-    nodes = stored(members.select("node").distinct(), "nodes")
-    wanted = stored(distinct.select("h1", "h2", "node").join(small(nodes), "node", "left_semi"), "wanted")
+    named = stored(keys.join(small(larger), "g").select("g", "m", "node", "q"), "named")
+    few = named.filter(f"m <= {FEW}").drop("m")
+    few = few.withColumnRenamed("node", "a").join(few.select("g", F.col("node").alias("b"), F.col("q").alias("other_q")), "g").filter(f"a < b AND {agree(pool)}")
+    pairs = stored(twos.unionByName(few.select("a", "b", F.expr(differ("(q ^ other_q)")).alias("d"))).distinct(), "pairs")
+    members = stored(named.filter(f"m > {FEW}").select("g", "node"), "members")
+    discard(named, groups, larger)
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node"))
+    nodes = stored(nodes.distinct(), "nodes")
+    wanted = stored(distinct.select("h1", "h2", "node", "q").join(small(nodes), "node", "left_semi"), "wanted")
     texts = split_lines(docs, id_col, text_col).select("h1", "h2", "line").join(small(wanted), ["h1", "h2"])
-    lines = stored(texts.select("node", "line").dropDuplicates(["node"]), "texts")
-    bits = stored(bitmaps(lines), "bitmaps")
-    bare, members = members, stored(members.join(bits, "node"), "members")
-    discard(bare, bits, wanted, nodes)
-    limit = f"{agree(pool, LEAST)} AND {may_link(num, den)}"
+    lines = stored(texts.select("node", "q", "line").dropDuplicates(["node"]), "texts")
+    discard(wanted, nodes)
+
+    def bits_of(nodes: DataFrame) -> DataFrame:
+        return stored(bitmaps(lines.join(small(stored(nodes.distinct(), "nodes")), "node", "left_semi")), "bitmaps")
 
     def exact(pairs: DataFrame) -> DataFrame:
         t = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         enough = lambda both: F.size(F.array_intersect(both["x"], both["y"])) * (num + den) >= num * (F.size(both["x"]) + F.size(both["y"]))
         return t.filter(let(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")), enough)).select("a", "b")
 
-    links, labels = star_links(members, exact, rounds=4, linked_first=True, alike=limit)
+    # every line against the most alike of its candidates, so that most of the other pairs are joined by then
+    links = labels = None
+    for _ in range(2):
+        nearest = lambda: unjoined(pairs, labels).groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))  # noqa: B023, E731
+        found = settled(lambda: exact(stored(nearest(), "nearest")), "links")  # noqa: B023
+        links = found if links is None else links.unionByName(found)
+        before, labels = labels, stored(nearer(labels, found, hops=3), "labels")
+        if before is not None:
+            discard(before)
+
+    def rest() -> DataFrame:
+        open_pairs = stored(unjoined(pairs, labels), "open")
+        bits = bits_of(open_pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        columns = [x for x in bits.columns if x not in ("node", "q")]
+        ends = open_pairs.join(small(bits.select(F.col("node").alias("a"), *columns)), "a")
+        ends = ends.join(small(bits.select(F.col("node").alias("b"), *[F.col(x).alias(f"other_{x}") for x in columns])), "b")
+        return exact(stored(ends.filter(may_link(num, den)).select("a", "b"), "held"))
+
+    links = links.unionByName(settled(rest, "links"))
+    limit = f"{agree(pool)} AND {may_link(num, den)}"
+    bits = bits_of(members.select("node"))
+    bare, members = members, stored(members.join(small(bits), "node"), "members")
+    discard(bare, bits)
+    found, labels = star_links(members, exact, rounds=4, linked_first=True, alike=limit)
+    links = links if found is None else links.unionByName(found)
     apart = labelled(members, labels)
-    found = settled(lambda: exact(stored(spread_pairs(apart, limit).distinct(), "pairs")), "links")
-    component = components(found if links is None else links.unionByName(found))
+    links = links.unionByName(settled(lambda: exact(stored(spread_pairs(apart, limit).distinct(), "pairs")), "links"))
+    component = components(links)
     repeated = distinct.select("h1", "h2", "n", "node").join(component, "node", "left").filter("n > 1 or component is not null")
     return every, stored(repeated.select("h1", "h2", F.coalesce("component", "node").alias("class")), "classes")
 
@@ -183,7 +250,8 @@ def line_report(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     second copy loses its lines; an empty table gives no rows. Only the two named
     columns are read.
     """
-    every, classes = similar_lines(docs, threshold, id_col, text_col)
+    with settings(docs.sparkSession, CONF):
+        every, classes = similar_lines(docs, threshold, id_col, text_col)
     found = stored(every.join(small(classes), ["h1", "h2"]).select("row", "doc_id", "no", "occ", "class"), "found")
     keepers = found.groupBy("class").agg(F.min(F.struct("doc_id", "no", "occ")).alias("first")).select(F.col("first.occ").alias("occ"))
     dropped = found.join(keepers, "occ", "left_anti").groupBy("row").agg(F.sort_array(F.collect_list("no")).alias("dropped"))

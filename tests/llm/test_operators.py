@@ -215,6 +215,24 @@ def test_near_lines_are_candidates(spark):
     assert np.mean(linked_lines(spark, pairs)) >= 0.985
 
 
+def test_few_lines_are_candidates_by_chance(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    vocabulary = ["".join(chr(c) for c in r.integers(97, 123, r.integers(4, 9))) for _ in range(150)]
+    lines = [" ".join(r.choice(vocabulary, 40)) for _ in range(3000)]
+    fetched, stored_as = [], line_dedup.stored
+
+    def counted(df, name):
+        out = stored_as(df, name)
+        if name == "texts":
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    report = line_dedup.line_report(spark.createDataFrame(list(enumerate([*lines, lines[0] + "s"])), "doc_id long, text string"))
+    assert [r["doc_id"] for r in report.collect() if r["n_dropped"]] == [3000]
+    assert fetched[0] <= 0.2 * len(lines)
+
+
 def test_lines_of_one_long_word(spark):
     r = np.random.default_rng(6)
     tails = ["".join(r.choice(list("0123456789abcdef"), 63)) for _ in range(40)]
