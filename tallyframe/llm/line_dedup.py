@@ -3,8 +3,8 @@
 Signatures are minima of all five-character shingles of a line under XOR orders (the
 minimum of ``h ^ c`` is the hash nearest to c, another uniform draw for each c). All
 orders begin with the shingles of even hash, so that in a line long enough to have
-some only those can be a minimum. Lines that share a band, and agree in 18 of 32
-minima by their last two bits, are candidates. Each is held against the most alike of them first, by the exact
+some only those can be a minimum. Lines that share a band, and agree in 17 of 32
+minima by their last four bits, are candidates. Each is held against the most alike of them first, by the exact
 Jaccard similarity of the same sets; of pairs that this leaves unjoined those that differ in too many bits
 of a bitmap of their shingles cannot be similar, and the others are held against each other in the same way.
 Similar lines join components, and of each component one line stays.
@@ -28,9 +28,9 @@ SIZE = 5
 #: Of a line of ``ALL`` characters or more the minima are taken over the shingles of even hash, and the ``FIRST`` ones.
 ALL, FIRST = 64, 32
 WORDS = 16
-#: A minimum is kept as its last ``LANE`` bits, ``LANES`` to a long. Of 32 a candidate pair agrees in ``LEAST``, by their last two bits.
-LANE, LANES, LEAST = 16, 4, 18
-EVEN_BITS = 0x5555555555555555
+#: A minimum is kept as its last ``LANE`` bits, ``LANES`` to a long. Of 32 a candidate pair agrees in ``LEAST``, by their last four bits.
+LANE, LANES, LEAST = 16, 4, 17
+FOURTH_BITS = 0x1111111111111111
 #: Groups of at most so many lines are paired at once; larger ones by leaders first.
 FEW = 16
 #: Shuffled files go with the query that wrote them; of many aggregates one hash map is faster than two.
@@ -96,29 +96,33 @@ def lane(j: int, bits: int = LANE) -> Column:
     return F.shiftrightunsigned(f"p{j // LANES}", LANE * (j % LANES)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def sketch(pool: int) -> Column:
-    """The last two bits of the first 32 minima, out of p0.., as one long."""
+def sketch(pool: int, part: int) -> Column:
+    """The last four bits of 16 minima from 16 * ``part`` on, out of p0.., as one long."""
     total = F.lit(0).cast("long")
-    for j in range(min(pool, 32)):
-        total = total.bitwiseOR(F.shiftleft(lane(j, 2), 2 * j))
-    return total.alias("q")
+    for j in range(16 * part, min(pool, 16 * part + 16)):
+        total = total.bitwiseOR(F.shiftleft(lane(j, 4), 4 * (j % 16)))
+    return total
 
 
-def differ(x: str) -> str:
-    """In how many lanes two sketches differ, given their XOR."""
-    return f"bit_count((({x}) | shiftrightunsigned({x}, 1)) & {EVEN_BITS}L)"
+def differ(x: str = "(q ^ other_q)", y: str = "(r ^ other_r)") -> str:
+    """In how many lanes two sketches q, r differ, given their XORs."""
+    return " + ".join(f"bit_count(({z} | shiftrightunsigned({z}, 1) | shiftrightunsigned({z}, 2) | shiftrightunsigned({z}, 3)) & {FOURTH_BITS}L)" for z in (x, y))
 
 
-def agree(pool: int, x: str = "(q ^ other_q)") -> str:
-    """Whether two sketches, given their XOR, agree in enough lanes."""
+def agree(pool: int, d: str = differ()) -> str:
+    """Whether two sketches that differ in ``d`` lanes agree in enough."""
     n = min(pool, 32)
-    return f"{differ(x)} <= {n - n * LEAST // 32}"
+    return f"{d} <= {n - n * LEAST // 32}"
+
+
+def orders(pool: int, seed: int) -> list[int]:
+    """The constants of the XOR orders: no two have the same leading bits, so that few orders have the same shingle for their minimum."""
+    draw, lead = random.Random(seed), (pool - 1).bit_length()
+    return [first << 28 - lead | draw.getrandbits(28 - lead) for first in draw.sample(range(1 << lead), pool)]
 
 
 def signed(lines: DataFrame, pool: int, seed: int) -> DataFrame:
     """h1, h2, n (occurrences) and p0.. (``LANE`` bits of each minimum) of the distinct lines that are not blank."""
-    draw = random.Random(seed)
-    constants = [draw.getrandbits(28) for _ in range(pool)]
     wide = lines.filter("h1 is not null").select("h1", "h2", F.encode("line", "UTF-32").alias("wide"))
     at = wide.select("h1", "h2", "wide", F.explode(places(F.col("wide"))).alias("at"))
     long_enough = F.expr(f"octet_length(wide) div 4 >= {ALL}")
@@ -129,7 +133,7 @@ def signed(lines: DataFrame, pool: int, seed: int) -> DataFrame:
     hashed = hashed.filter((F.col("at") < FIRST) | ~F.col("long_enough") | (odd == 0))
     order = (F.shiftleft(odd, 28) + F.shiftrightunsigned("h", 36).cast("int")).alias("order")
     first = hashed.select("h1", "h2", F.when(F.col("at") == 0, 1).otherwise(0).alias("first"), order)
-    minima = [F.min(F.col("order").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants)]
+    minima = [F.min(F.col("order").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(orders(pool, seed))]
     return first.groupBy("h1", "h2").agg(F.sum("first").alias("n"), *minima).select("h1", "h2", "n", *lanes(pool))
 
 
@@ -143,20 +147,20 @@ def band_name(i: int, band: list[int]) -> Column:
 
 
 def keyed(distinct: DataFrame, pool: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """g, node, q of each band of the rows node, q, p0.."""
+    """g, node, q, r of each band of the rows node, q, r, p0.."""
     names = [band_name(i, band) for i, band in enumerate(dealt_bands(pool, bands, rows, seed))]
     # a few bands at a time: the code of all is longer than what the JVM compiles
-    parts = [distinct.select("node", "q", F.explode(F.array(*names[i : i + 6])).alias("g")) for i in range(0, bands, 6)]
+    parts = [distinct.select("node", "q", "r", F.explode(F.array(*names[i : i + 6])).alias("g")) for i in range(0, bands, 6)]
     return functools.reduce(DataFrame.unionAll, parts)
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """node, q, n (shingles with repeats) and the bitmap w0..w15 of the shingles, of rows node, q, line."""
-    at = lines.select("node", "q", F.encode("line", "UTF-32").alias("wide")).select("node", "q", "wide", F.explode(places(F.col("wide"))).alias("at"))
-    h = at.select("node", "q", shingle(F.col("wide"), F.col("at")).alias("h"))
+    """node, q, r, n (shingles with repeats) and the bitmap w0..w15 of the shingles, of rows node, q, r, line."""
+    at = lines.select("node", "q", "r", F.encode("line", "UTF-32").alias("wide")).select("node", "q", "r", "wide", F.explode(places(F.col("wide"))).alias("at"))
+    h = at.select("node", "q", "r", shingle(F.col("wide"), F.col("at")).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    h = h.select("node", "q", bit.alias("bit"), F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("word"))
-    return h.groupBy("node", "q").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+    h = h.select("node", "q", "r", bit.alias("bit"), F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("word"))
+    return h.groupBy("node", "q", "r").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
 
 
 def may_link(num: int, den: int) -> str:
@@ -174,31 +178,32 @@ def unjoined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.filter("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
 
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pool: int = 32, bands: int = 24, rows: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", pool: int = 32, bands: int = 20, rows: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, no, occ, h1, h2 of all lines; h1, h2, class of the lines that occur more than once or are like another)."""
     num, den = round(threshold * 1000), 1000
     every = stored(split_lines(docs, id_col, text_col).select("row", "doc_id", "no", F.monotonically_increasing_id().alias("occ"), "h1", "h2"), "lines")
-    distinct = signed(split_lines(docs, id_col, text_col), pool, seed).withColumn("q", sketch(pool))
+    distinct = signed(split_lines(docs, id_col, text_col), pool, seed).withColumns({"q": sketch(pool, 0), "r": sketch(pool, 1)})
     distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
 
     keys = keyed(distinct, pool, bands, rows, seed)
-    groups = keys.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("q").alias("x"))
-    groups = stored(groups.filter(f"a <> b AND (m > 2 OR {agree(pool, 'x')})"), "bands")
-    # a group of two is its two ends, and the XOR of their sketches; larger ones get their members from the lines again, a few are paired at once
-    twos = groups.filter("m = 2").select("a", "b", F.expr(differ("x")).alias("d"))
+    groups = keys.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("q").alias("x"), F.bit_xor("r").alias("y"))
+    groups = groups.select("g", "m", "a", "b", F.expr(differ("x", "y")).alias("d"))
+    groups = stored(groups.filter(f"a <> b AND (m > 2 OR {agree(pool, 'd')})"), "bands")
+    # a group of two is its two ends, and the XOR of their sketches gives the lanes that differ; larger ones get their members from the lines again, a few are paired at once
+    twos = groups.filter("m = 2").select("a", "b", "d")
     larger = stored(groups.filter("m > 2").select("g", "m"), "larger")
-    named = stored(keys.join(small(larger), "g").select("g", "m", "node", "q"), "named")
+    named = stored(keys.join(small(larger), "g").select("g", "m", "node", "q", "r"), "named")
     few = named.filter(f"m <= {FEW}").drop("m")
-    few = few.withColumnRenamed("node", "a").join(few.select("g", F.col("node").alias("b"), F.col("q").alias("other_q")), "g").filter(f"a < b AND {agree(pool)}")
-    pairs = stored(twos.unionByName(few.select("a", "b", F.expr(differ("(q ^ other_q)")).alias("d"))).distinct(), "pairs")
+    few = few.withColumnRenamed("node", "a").join(few.select("g", F.col("node").alias("b"), F.col("q").alias("other_q"), F.col("r").alias("other_r")), "g").filter(f"a < b AND {agree(pool)}")
+    pairs = stored(twos.unionByName(few.select("a", "b", F.expr(differ()).alias("d"))).distinct(), "pairs")
     members = stored(named.filter(f"m > {FEW}").select("g", "node"), "members")
     discard(named, groups, larger)
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node"))
     nodes = stored(nodes.distinct(), "nodes")
-    wanted = stored(distinct.select("h1", "h2", "node", "q").join(small(nodes), "node", "left_semi"), "wanted")
+    wanted = stored(distinct.select("h1", "h2", "node", "q", "r").join(small(nodes), "node", "left_semi"), "wanted")
     texts = split_lines(docs, id_col, text_col).select("h1", "h2", "line").join(small(wanted), ["h1", "h2"])
-    lines = stored(texts.select("node", "q", "line").dropDuplicates(["node"]), "texts")
+    lines = stored(texts.select("node", "q", "r", "line").dropDuplicates(["node"]), "texts")
     discard(wanted, nodes)
 
     def bits_of(nodes: DataFrame) -> DataFrame:
@@ -222,7 +227,7 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     def rest() -> DataFrame:
         open_pairs = stored(unjoined(pairs, labels), "open")
         bits = bits_of(open_pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        columns = [x for x in bits.columns if x not in ("node", "q")]
+        columns = [x for x in bits.columns if x not in ("node", "q", "r")]
         ends = open_pairs.join(small(bits.select(F.col("node").alias("a"), *columns)), "a")
         ends = ends.join(small(bits.select(F.col("node").alias("b"), *[F.col(x).alias(f"other_{x}") for x in columns])), "b")
         return exact(stored(ends.filter(may_link(num, den)).select("a", "b"), "held"))

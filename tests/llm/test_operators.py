@@ -233,6 +233,13 @@ def test_few_lines_are_candidates_by_chance(spark, monkeypatch):
     assert fetched[0] <= 0.2 * len(lines)
 
 
+def test_orders_and_sketches_of_lines(spark):
+    constants = line_dedup.orders(32, 0)
+    assert len({c >> 23 for c in constants}) == 32 and max(constants) < 1 << 28
+    zero, one_lane = "0L", "(8L << 60)"
+    assert spark.range(1).selectExpr(line_dedup.differ(zero, zero), line_dedup.differ(one_lane, "4369L")).first()[:] == (0, 5)
+
+
 def test_lines_of_one_long_word(spark):
     r = np.random.default_rng(6)
     tails = ["".join(r.choice(list("0123456789abcdef"), 63)) for _ in range(40)]
